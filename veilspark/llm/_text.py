@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 60_000
 
 _rng = np.random.default_rng(20240117)
@@ -164,6 +164,21 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(out[: len(out) - rest], out[rest:]) if len(out) > rest else out[:0]) if rest else out
 
 
+def release() -> None:
+    """Give freed memory back to the system, as the Python worker lives on beside its executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        _trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def _trim(pad: int) -> None:
+    import ctypes
+
+    ctypes.CDLL(None).malloc_trim(pad)
+
+
 def by_doc(doc: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Order by document, then value; documents number below 65,536."""
     order = np.argsort(values)

@@ -164,7 +164,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out.withColumn("items", F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull()))))
 
 
-def drop_leaked_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents in which no benchmark window occurs; columns as given. A null id is judged by its own text."""
     found = find_leaks(docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("_k"), text_col), benchmark, "_k", text_col, **options)
     leaked = found.filter(F.size("hit_words") > 0).select(F.col("_k.id").alias("_id"), F.col("_k.h").alias("_h")).distinct()

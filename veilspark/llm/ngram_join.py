@@ -37,9 +37,9 @@ U64 = np.uint64
 #: Shingles that more sets than this hold are frequent, and index as pairs.
 FREQUENT = 32
 #: Entries dealt to one task when shingles are counted.
-COUNT_ENTRIES = 3_000_000
+COUNT_ENTRIES = 1_200_000
 #: Entries a map task gathers before it deals them out.
-FLUSH = 1_500_000
+FLUSH = 600_000
 #: Bounds of a block in verification.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
 
@@ -133,6 +133,8 @@ def _deal(size: int, buckets: int):
                     held, count, docs = [], 0, 0
         if held:
             yield from flush()
+        held.clear()
+        T.release()
 
     return run
 

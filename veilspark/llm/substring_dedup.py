@@ -38,9 +38,9 @@ MAX_CELLS = 1 << 30
 #: Ranges of the sketch, each added up by one task.
 RANGES = 64
 #: Chosen grams, and windows, that a map task gathers before it deals them out.
-FLUSH_GRAMS, FLUSH_WINDOWS = 3_000_000, 1_500_000
+FLUSH_GRAMS, FLUSH_WINDOWS = 1_500_000, 600_000
 #: Bytes of text in a pack of documents, and in a bucket's share of windows.
-PACK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+PACK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 _NULL_ID = -(1 << 63)
 _SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -88,6 +88,8 @@ def _sketch(window: int, log_cells: int):
                     held, count = [], 0
         if held:
             yield flush(held)
+        held.clear()
+        T.release()
 
     return run
 
@@ -174,6 +176,8 @@ def _repeated(window: int, log_cells: int, bits, buckets: int, packs: int):
                     held, count = [], 0
         if held:
             yield from flush(held)
+        held.clear()
+        T.release()
 
     return run
 
