@@ -85,6 +85,18 @@ def glob_match(column: Column, pattern: str) -> Column:
     return column.rlike(glob_regex(pattern))
 
 
+def glob_column(column: Column, pattern: Column) -> Column:
+    """GLOB with a pattern from a column: patterns become regexes in Arrow batches, the match stays in the JVM."""
+
+    def translate(patterns: pd.Series) -> pd.Series:
+        from veilspark.functions.sqlite import glob_regex
+
+        return patterns.map(glob_regex, na_action="ignore")
+
+    translate.__annotations__ = {"patterns": pd.Series, "return": pd.Series}
+    return F.rlike(column, F.pandas_udf(translate, "string")(pattern))
+
+
 def cast_text(column: Column, stored: T.DataType) -> Column:
     """Booleans are 1 and 0; doubles have 15 significant digits and always a point or an exponent."""
     if isinstance(stored, T.BooleanType):

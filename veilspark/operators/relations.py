@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -16,6 +17,7 @@ from veilspark.plans.authorize import Grants, expressions
 from veilspark.plans.binder import BoundSelect, Col, Const, ExistsIn, Op, Param, RowNumber, Scope, walk
 from veilspark.plans.syntax import unsupported
 from veilspark.policy import columns_of, to_column
+from veilspark.shipping import ship
 from veilspark.types import STORED, Logical, Session
 
 
@@ -61,6 +63,8 @@ class Build:
     # -- expressions --
 
     def literal(self, value: Any, logical: Logical, stored: T.DataType | None) -> Column:
+        if logical is Logical.JSON:
+            value = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
         return F.lit(value).cast(stored if stored is not None else STORED[logical][0]())
 
     def scalar(self, e: Any, like: T.DataType | None = None, outer: frozenset[int] = frozenset()) -> Column:
@@ -125,9 +129,10 @@ class Build:
                 text = self.scalar(a, None, outer)
                 known = p.value if isinstance(p, Const) else self.values[p.name] if isinstance(p, Param) else None
                 if known is None:
+                    made = self.scalar(p, None, outer)
                     if op.endswith("GLOB"):
-                        raise unsupported("glob pattern from a column")
-                    found = sqlite.like_column(text, self.scalar(p, None, outer))
+                        ship(self.spark)
+                    found = sqlite.glob_column(text, made) if op.endswith("GLOB") else sqlite.like_column(text, made)
                 else:
                     found = sqlite.like_match(text, known) if op.endswith("LIKE") else sqlite.glob_match(text, known)
                 return ~found if op.startswith("NOT") else found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -27,15 +28,16 @@ class Written:
 class _Plain(Build):
     """Expressions over the stored columns of one table."""
 
-    def __init__(self, w: BoundWrite, values: dict[str, Any]) -> None:
-        self.values, self.q = values, BoundSelect([])
+    def __init__(self, store: Store, values: dict[str, Any]) -> None:
+        self.spark, self.values, self.q = store.spark, values, BoundSelect([])
 
     def scalar(self, e: Any, like: T.DataType | None = None, outer: frozenset[int] = frozenset()) -> Column:
         return F.col(f"`{e.info.name}`") if isinstance(e, Col) else super().scalar(e, like, outer)
 
 
 def _value(e: Any, values: dict[str, Any]) -> Any:
-    return e.value if isinstance(e, Const) else values[e.name] if isinstance(e, Param) else e
+    value = e.value if isinstance(e, Const) else values[e.name] if isinstance(e, Param) else e
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")) if isinstance(value, (dict, list)) else value
 
 
 def _conflict(rows: DataFrame, check: Any, session: Session) -> bool:
@@ -62,7 +64,7 @@ def apply(store: Store, snap: Snapshot, w: BoundWrite, policy: WritePolicy, sess
     current = store.read(snap, table)
     wanted = F.coalesce(to_column(policy.filter, session, F.col), F.lit(False))
     if w.where is not None:
-        wanted = wanted & F.coalesce(_Plain(w, values).test(w.where), F.lit(False))
+        wanted = wanted & F.coalesce(_Plain(store, values).test(w.where), F.lit(False))
     hit = current.filter(wanted)
     counts = hit.select(F.col("_metadata.file_path").alias("f")).groupBy("f").count().collect() if snap.tables[table] else []  # a row for each touched file
     affected = sum(r["count"] for r in counts)
