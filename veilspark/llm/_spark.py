@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.shipping import ship
+
 #: Up to this many edges (16 bytes each) one executor task joins them; above it the rounds below run on all executors.
 SMALL_EDGES = 1_000_000
 #: Rows of 16 bytes or fewer that may be broadcast after they were counted.
 BROADCAST_ROWS = 1_000_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application; Spark serves the archive itself."""
-    context = spark.sparkContext
-    if getattr(context, "_veilspark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    fd, archive = tempfile.mkstemp(prefix="veilspark-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted((root / "veilspark").rglob("*.py")):
-            z.write(f, str(f.relative_to(root)))
-    context.addPyFile(archive)
-    context._veilspark_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where none is set (a local session), one in the warehouse folder."""
     context = spark.sparkContext
@@ -105,3 +88,6 @@ def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
 
 def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
+
+
+__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bounded", "components", "packed", "shared_dir", "ship", "written"]
