@@ -29,7 +29,7 @@ ORDINARY = (
     "city news", "daily news", "local weather", "weather report", "open library", "public library", "science journal", "health journal", "history museum", "art museum", "school district", "state university", "online university", "travel guide", "city guide", "food blog", "garden blog", "photo blog", "music review", "book review",
     "book shop", "sports news", "football club", "tennis club", "open source", "code review", "data science", "web developer", "cooking recipes", "easy recipes", "family doctor", "health clinic", "research lab", "green energy", "solar power", "home garden", "house design", "video lessons", "free encyclopedia", "free software",
     "online courses", "online maps", "world bank", "world map", "stock market", "job search", "car rental", "hotel booking", "train times", "bike shop", "coffee shop", "wine guide", "film review", "radio live", "public radio", "town hall", "law firm", "tax office", "post office", "fire department", "animal rescue", "bird watch",
-    "mountain hiking", "river fishing", "track and field", "farm market", "poetry magazine", "math tutor", "language school", "kids games", "chess club", "board games", "email login", "forum help", "support center", "about contact", "article archive", "wiki page", "blog post",
+    "mountain hiking", "river fishing", "track and field", "farm market", "poetry magazine", "math tutor", "language school", "kids games", "chess club", "board games", "email login", "forum help", "support center", "about contact", "article archive", "wiki page", "blog post", "essex county", "sussex news", "sex education", "hotel search", "winter sports", "software tracker",
 )
 #: Labels that say nothing of a site.
 NEUTRAL = frozenset(("www", "m", "mobile", "blog", "com", "net", "org", "info", "biz", "io", "co", "uk", "de", "fr", "es", "en", "us", "html", "htm", "php", "index", "example", "the"))
