@@ -91,7 +91,11 @@ def test_lz_parse_and_likeness():
     rng = random.Random(2)
     for _ in range(20):
         data = bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 300)))
-        assert len(lz_fingerprint.phrases(data)) == len(plain(data)) == len(set(lz_fingerprint.phrases(data)))
+        ends = lz_fingerprint.phrase_ends(data)
+        assert [data[a + 1 : b + 1] for a, b in zip([-1, *ends], ends)] == plain(data)
+        text, cut = data.decode(), rng.randrange(0, len(data) + 1)
+        other = text[:cut] + "cab" * rng.randrange(9)
+        assert lz_fingerprint.fingerprint_pair(text, other, cut) == (lz_fingerprint.fingerprint(text), lz_fingerprint.fingerprint(other))
     text = " ".join(brute.words(rng, 400))
     assert lz_fingerprint.likeness(lz_fingerprint.fingerprint(text), lz_fingerprint.fingerprint(text)) == 1
     near = lz_fingerprint.likeness(lz_fingerprint.fingerprint(text), lz_fingerprint.fingerprint(text[:-40] + "other"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.shipping import ship
@@ -86,8 +86,22 @@ def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def edges_below(column: Column, edges: list) -> Column:
+    """How many of the sorted edges lie below the column's value (not null), looked up in two short steps."""
+    if not edges:
+        return F.lit(0)
+    kind = "double" if isinstance(edges[0], float) else "bigint"
+    width = max(1, int(len(edges) ** 0.5))
+    groups = [edges[i : i + width] for i in range(0, len(edges), width)]
+    # literal texts fold to constant arrays, however many edges there are
+    lasts = F.split(F.lit(",".join(repr(g[-1]) for g in groups)), ",").cast(f"array<{kind}>")
+    table = F.transform(F.split(F.lit(";".join(",".join(map(repr, g)) for g in groups)), ";"), lambda g: F.split(g, ",").cast(f"array<{kind}>"))
+    past = F.size(F.filter(lasts, lambda e: e < column))
+    return F.least(past * width, F.lit(len(edges))) + F.when(past < len(groups), F.size(F.filter(F.get(table, past), lambda e: e < column))).otherwise(0)
+
+
 def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bounded", "components", "packed", "shared_dir", "ship", "written"]
+__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bounded", "components", "edges_below", "packed", "shared_dir", "ship", "written"]

@@ -1,9 +1,9 @@
 """Lempel-Ziv phrase fingerprints.
 
 Each text is parsed (LZ78, over its UTF-8 bytes) into phrases, each a known phrase and one byte more. The set of
-phrase hashes is reduced to one minimum for each of SLOTS hash functions; the share of equal minima estimates how much
+phrase hashes is dealt to SLOTS slots by hash and reduced to each slot's minimum; the share of equal minima estimates how much
 of their dictionaries two texts have in common, as a compressor that learns from one while packing the other would see
-it. Fingerprints are hexadecimal, eight digits a slot.
+it. A text and its edited form share the parse of the part they have in common. Fingerprints are hexadecimal, eight digits a slot.
 
 Neighbours in the order of ids are paired without a global sort in one task: rows are dealt by range of id, each range
 also gets a copy of the next range's first row, and each range is read in order.
@@ -11,6 +11,7 @@ also gets a copy of the next range's first row, and each range is read in order.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,45 +19,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm import _text as T
+from veilspark.llm._spark import edges_below
+
 U64 = np.uint64
 SLOTS = 64
 #: Bytes of text in a range.
-RANGE_BYTES = 16 << 20
-_MASK = (1 << 64) - 1
-_MUL = 0x9E3779B97F4A7C15
-_rng = np.random.default_rng(78)
-_A = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * U64(2) + U64(1)
-_B = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64)
+RANGE_BYTES = 4 << 20
+#: Ranges at the most; larger inputs have larger ranges, which are sorted with spill and read row by row.
+MOST_RANGES = 10_000
+_SLOT = np.arange(SLOTS, dtype=np.uint64) << U64(58)
 EMPTY = "f" * (8 * SLOTS)
 
 
-def phrases(data: bytes) -> list[int]:
-    """Hashes of the phrases of an LZ78 parse; the last may repeat an earlier one and is then left out."""
-    known: dict[int, int] = {}
-    hashes = [0x1234567]
-    node, size = 0, 1
-    get, add = known.get, hashes.append
-    for c in data:
-        key = node << 8 | c
-        node = get(key, 0)
-        if not node:
-            known[key] = size
-            size += 1
-            add((hashes[key >> 8] * _MUL + c + 1) & _MASK)
-    return hashes[1:]
+def _grow(node: dict, root: dict, data: bytes, base: int, ends: list[int], made: list[tuple[dict, int]]) -> dict:
+    """Go on parsing: ends gets the last byte's place of each new phrase, made where the trie grew."""
+    end, grew = ends.append, made.append
+    for i, c in enumerate(data, base):
+        following = node.get(c)
+        if following is None:
+            node[c] = {}
+            grew((node, c))
+            end(i)
+            node = root
+        else:
+            node = following
+    return node
+
+
+def phrase_ends(data: bytes) -> list[int]:
+    """Where the phrases of an LZ78 parse end; a last phrase that repeats an earlier one is left out."""
+    root: dict = {}
+    ends: list[int] = []
+    _grow(root, root, data, 0, ends, [])
+    return ends
+
+
+def _minima(data: bytes, ends: list[int]) -> str:
+    """One hash of each phrase; the top bits choose its slot, the least of a slot stays. An empty slot takes the next
+    full one's value, changed by the distance."""
+    if not ends:
+        return EMPTY
+    last = np.array(ends)
+    start = np.concatenate([[0], last[:-1] + 1])
+    up, down = T._BYTES.get(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(T._CODES[np.frombuffer(data, np.uint8)] * up[: len(data)], out=sums[1:])
+    h = np.sort(T.mix((sums[last + 1] - sums[start]) * down[start] + (last + 1 - start).astype(np.uint64)))
+    at = np.searchsorted(h, _SLOT)
+    inside = at < len(h)
+    inside[inside] = h[at[inside]] >> U64(58) == _SLOT[inside] >> U64(58)
+    full = np.flatnonzero(inside)
+    take = np.searchsorted(full, np.arange(SLOTS))
+    source = np.concatenate([full, full[:1] + SLOTS])[take]
+    value = h[at[source % SLOTS]] + U64(0x9E3779B97F4A7C15) * (source - np.arange(SLOTS)).astype(np.uint64)
+    return (value & U64(0xFFFFFFFF)).astype(">u4").tobytes().hex()
 
 
 def fingerprint(text: str | None) -> str:
-    """Null and empty texts have no phrases: every slot is at its maximum."""
-    found = phrases((text or "").encode("utf-8", "surrogatepass"))
-    if not found:
-        return EMPTY
-    h = np.array(found, np.uint64)
-    h ^= h >> U64(29)
-    least = np.full(SLOTS, _MASK, np.uint64)
-    for i in range(0, len(h), 4096):
-        np.minimum(least, (h[i : i + 4096, None] * _A + _B).min(axis=0), out=least)
-    return (least >> U64(32)).astype(">u4").tobytes().hex()
+    """Null and empty texts have no phrases: every digit is f."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return _minima(data, phrase_ends(data))
+
+
+def fingerprint_pair(text: str, new: str, same: int) -> tuple[str, str]:
+    """Fingerprints of two texts that agree in their first same characters, which are parsed once."""
+    a, b = text.encode("utf-8", "surrogatepass"), new.encode("utf-8", "surrogatepass")
+    cut = len(text[:same].encode("utf-8", "surrogatepass"))
+    root: dict = {}
+    ends: list[int] = []
+    node = _grow(root, root, a[:cut], 0, ends, [])
+    known, made = len(ends), []
+    _grow(node, root, a[cut:], cut, ends, made)
+    mark = _minima(a, ends)
+    for where, c in reversed(made):
+        del where[c]
+    del ends[known:]
+    _grow(node, root, b[cut:], cut, ends, [])
+    return mark, _minima(b, ends)
 
 
 def likeness(a: str, b: str) -> float:
@@ -82,17 +122,23 @@ def _walk(names: list[str]):
     """Rows sorted by range and order; the copy of the next range's first row comes last in its range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, id, text, fingerprint)
+        held = ready = None  # (range, id, text); and the row of the one before, which waits for this one's fingerprint
+        gc.disable()  # tries hold no cycles
         for batch in batches:
             out: list[tuple] = []
             for place, is_copy, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text or ""
-                mark = held[3] if held and held[2] == text else fingerprint(text)
                 if held and held[0] == place:
-                    new = edited(held[2], text)
-                    new_mark = held[3] if new == held[2] else fingerprint(new)
-                    out.append((held[1], len(held[2]), new, held[3], new_mark, likeness(held[3], new_mark), likeness(held[3], mark)))
-                held = None if is_copy else (place, doc_id, text, mark)
+                    _, own_id, own = held
+                    new = edited(own, text)
+                    mark, new_mark = fingerprint_pair(own, new, len(own) - len(own) // 2)
+                    if ready:
+                        out.append((*ready, likeness(ready[3], mark)))
+                    ready = (own_id, len(own), new, mark, new_mark, likeness(mark, new_mark))
+                    if is_copy:
+                        out.append((*ready, likeness(mark, fingerprint(text))))
+                        ready = None
+                held = None if is_copy else (place, doc_id, text)
             if out:
                 kinds = (batch.column(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -115,12 +161,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    ranges = max(1, -(-(size[0] or 0) // range_bytes))
+    ranges = min(MOST_RANGES, max(1, -(-(size[0] or 0) // range_bytes)))
     cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 and size[1] else []
     # ascending k is descending id; range numbers ascend with k
     key = F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1))
     edges = sorted(-int(c) for c in cuts)
-    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("k"))) if edges else F.lit(0)
+    place = edges_below(F.col("k"), edges)
     rows = docs.withColumn("k", key).select(place.cast("int").alias("place"), F.lit(0).alias("copy"), "k", "doc_id", "text")
     present = sorted(r[0] for r in rows.select("place").distinct().collect())  # a number for each range
     if not present:
