@@ -37,7 +37,7 @@ U64 = np.uint64
 #: Shingles that more sets than this hold are frequent, and index as pairs.
 FREQUENT = 32
 #: Entries dealt to one task when shingles are counted.
-COUNT_ENTRIES = 1_200_000
+COUNT_ENTRIES = 2_400_000
 #: Entries a map task gathers before it deals them out.
 FLUSH = 600_000
 #: Bounds of a block in verification.
@@ -83,6 +83,15 @@ def _summary(size: int, columns: list[str]):
     return run
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Two bytes a count where that is enough."""
+    return counts.astype(np.uint16 if not len(counts) or counts.max() < 1 << 16 else np.int32)
+
+
+def _widened(ids: bytes, counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, np.uint16 if 4 * len(counts) == len(ids) else np.int32).astype(np.int64)
+
+
 def _deal(size: int, buckets: int):
     """Rows of one bucket each: the sets met, how many entries each has, 32 bits of every entry, and of what is shared."""
 
@@ -118,7 +127,7 @@ def _deal(size: int, buckets: int):
                     continue
                 d = doc[x:y]
                 cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if y > x else np.zeros(0, np.int64)
-                rows.append((b, packed(ids[d[cut]]), packed(np.diff(np.append(cut, y - x)).astype(np.int32)), packed(hashes[x:y].astype(np.uint32)), packed(shared[p:q].astype(np.uint32))))
+                rows.append((b, packed(ids[d[cut]]), packed(_narrow(np.diff(np.append(cut, y - x)))), packed(hashes[x:y].astype(np.uint32)), packed(shared[p:q].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "ids", "counts", "entries", "shared"])
 
         for batch in batches:
@@ -146,7 +155,7 @@ def _alone(packs: int):
         get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
         ids, inverse = np.unique(np.concatenate(get("ids", np.int64)), return_inverse=True)
         entries = np.concatenate(get("entries", np.uint32)).astype(np.uint64)
-        keys = np.unique(entries << U64(32) | np.repeat(inverse, np.concatenate(get("counts", np.int32))).astype(np.uint64))
+        keys = np.unique(entries << U64(32) | np.repeat(inverse, np.concatenate([_widened(i, c) for i, c in zip(table.column("ids").to_pylist(), table.column("counts").to_pylist(), strict=True)])).astype(np.uint64))
         entry = keys >> U64(32)
         alone = np.ones(len(keys), bool)
         alone[1:] &= entry[1:] != entry[:-1]
