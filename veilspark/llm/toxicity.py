@@ -6,8 +6,8 @@ there, others are stems. A match inside an exception phrase does not count. A wo
 weight that matches it. The sum of weights S gives two measures, log(1 + S) and its density log(1 + 1000 S / length);
 a logistic curve over them gives the score, so a long text needs more matches than a short one.
 
-Weights come from labelled rows: stems of 3 to 12 letters and whole words, by how many toxic and clean texts hold
-them. Of stems that the same texts hold the longest stays; longer ones go where a stem of theirs weighs as much.
+Weights come from labelled rows, copies and most near copies counted once: stems of 3 to 12 letters and whole words, by how
+many toxic and clean texts hold them. A pattern needs a hundredth of the toxic texts and log odds well above their error. Of stems that the same texts hold the longest stays; longer ones go where a stem of theirs weighs as much.
 The fixed words below are matched as well, with a default weight where the labels say nothing.
 """
 
@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm import _text as T
+from veilspark.llm._spark import written
+
 #: The built-in lexicon.
 WORDS = ("asshole", "bastard", "bitch", "clown", "cunt", "disgusting", "dumbass", "fucker", "idiot", "imbecile", "loser", "moron", "pathetic", "retard", "scum", "shithead", "stupid", "trash", "worthless", "wanker")
 #: Phrases in which a word of the lexicon is harmless.
@@ -125,16 +128,31 @@ def _count(wanted: frozenset | None):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of a text's five-word runs: near copies mostly agree in it. Texts of fewer words stand for themselves."""
+    for batch in batches:
+        for chunk in T.chunks(batch.column(0)):
+            w = T.words(chunk, T.SPACE, lower=True)
+            runs, whole = T.windows(w, 5)
+            least = np.full(len(chunk.offsets) - 1, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(least, w.doc[: len(runs)][whole], runs[whole])
+            for i in np.flatnonzero(np.diff(w.per_doc) < 5):
+                least[i] = T.span_hash(w, w.per_doc[i], w.per_doc[i + 1])
+            part = batch.slice(chunk.first, chunk.last - chunk.first)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.view(np.int64))], names=["text", "_y", "_g"])
+
+
 def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_weight: float = 3.0) -> dict[str, float]:
     """Weights (log odds of holding the pattern) of the patterns worth matching."""
     weight = {p: float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((clean.get(p, 0) + 0.5) / (n_clean + 1))) for p, t in toxic.items()}
+    error = {p: float(np.sqrt(1 / (t + 0.5) + 1 / (clean.get(p, 0) + 0.5))) for p, t in toxic.items()}
     longer = Counter()
     for p, t in toxic.items():
         shorter = p[:-1]
         longer[shorter] = max(longer[shorter], t)
     kept: dict[str, float] = {}
     for p in sorted(toxic, key=lambda p: (len(p), p)):
-        if weight[p] < least_weight or longer[p] >= 0.9 * toxic[p]:
+        if weight[p] - error[p] < least_weight or longer[p] >= 0.9 * toxic[p]:
             continue
         if any(kept.get(p[:k], -1.0) >= weight[p] - 0.7 for k in range(SHORTEST, len(p))):
             continue
@@ -165,15 +183,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y, most in ((1, most_toxic), (0, most_clean)):
         part = labels.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
         sample = part if sample is None else sample.union(part)
-    # at most the two bounds' rows of 16 bytes
+    # the sample has at most the two bounds' rows of 16 bytes; their texts are written, so docs are read once
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id").select("text", "_y")
+    rows = written(rows.mapInArrow(_groups, "text string, _y int, _g long").groupBy("_g", "_y").agg(F.min("text").alias("text")).select("text", "_y"), "labelled")
     n = dict(rows.groupBy("_y").count().collect())
     model = Model()
     if not n.get(0) or not n.get(1):
         return model
-    least = max(3, n[1] // 500)
+    least = max(4, n[1] // 100)
     count = lambda y, wanted: dict(rows.filter(F.col("_y") == y).select("text").mapInArrow(_count(wanted), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).filter(F.col("n") >= (least if y else 1)).collect())
-    toxic = count(1, None)  # each in a 500th of the toxic texts or more
+    toxic = count(1, None)  # at most 100 times a text's patterns, as each is in a hundredth of the texts
     clean = count(0, frozenset(toxic))
     model.weights |= choose(toxic, clean, n[1], n[0])
     points = rows.select("text", "_y").mapInArrow(_measure(model), "y int, a double, b double").collect()  # three numbers a sampled row
