@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilspark.llm._spark import written
+from veilspark.llm._spark import edges_below, written
 
 BITS = 8
 SHARDS = 40
@@ -37,10 +37,7 @@ def quantised(df: DataFrame, dims: dict[str, Column], bits: int = BITS) -> DataF
     cuts = df.agg(*[F.percentile_approx(n, [i / steps for i in range(1, steps)], 20_000).alias(n) for n in names]).first()
 
     def step(n: str) -> Column:
-        edges = sorted(set(cuts[n] or []))
-        # how many edges lie below: a search in a short literal array
-        below = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(n))) if edges else F.lit(0)
-        return F.when(F.col(n).isNull(), 0).otherwise(below).cast("long")
+        return F.when(F.col(n).isNull(), 0).otherwise(edges_below(F.col(n), sorted(set(cuts[n] or [])))).cast("long")
 
     return df.select("*", *[step(n).alias(f"q{i}") for i, n in enumerate(names)]).drop(*names)
 
