@@ -232,3 +232,23 @@ def test_shards_differ_by_one_row(spark):
         order = [(r.curve) for r in sorted(got, key=lambda r: (r.shard, r.slot))]
         assert order == sorted(order)
     assert hilbert.shard_documents(brute.docs(spark, [])).count() == 0
+
+
+def test_kept_tokens_meet_the_margins_of_skewed_groups(spark):
+    text = " ".join(["w"] * 60)
+    rows = [(i, text, ["a", "b"][i % 3 == 0], "big" if i < 500 else f"s{i % 20}") for i in range(1500)] + [(2000 + i, text, "c", "big") for i in range(12)]
+    df = brute.table(spark, rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(df, {"lang": F.col("lang"), "source": F.col("source")}, mixing.tokens_of(F.col("text"))).collect()
+    whole = sum(r._tokens for r in out)
+    kept = sum(r._tokens * r._probability for r in out)
+    assert len(out) == len(rows) and all(0 < r._probability <= 1 for r in out) and kept <= 0.9 * whole + 1e-6
+    reach = []
+    for m in ("_lang", "_source"):
+        own, stay = Counter(), Counter()
+        for r in out:
+            own[r[m]] += r._tokens / whole
+            stay[r[m]] += r._tokens * r._probability / kept
+        want = mixing.tempered(own)
+        assert all(abs(stay[k] - v) < 1e-5 for k, v in want.items())
+        reach += [own[k] / v for k, v in want.items()]
+    assert abs(kept / whole - min(reach)) < 1e-5  # the group that gains most is kept whole

@@ -1,8 +1,10 @@
 """Mixing to target weights by iterative proportional fitting.
 
 Tokens are added up by cell (source, language, topic). Raking multiplies cell weights until every margin meets its
-target share; a budget of tokens then sets one factor so that the keep probabilities, each at most 1, expect to keep
-that many. A document stays if a hash of its id falls below its cell's probability.
+target share; from there they are raked under the bound that no probability exceeds 1, to the largest budget of
+tokens, at most the one asked for, at which the kept tokens meet the margins too. The margins come before the budget:
+a group that should gain can't keep more than all it has, so the others are thinned until the shares are right. A
+document stays if a hash of its id falls below its cell's probability.
 
 The cell table is what the raking works on, not the documents. Up to MOST_CELLS cells it is raked in one place; above,
 each step is a grouped sum joined back, written after each sweep.
@@ -10,7 +12,9 @@ each step is a grouped sum joined back, written after each sweep.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,6 +25,8 @@ from veilspark.llm._spark import BROADCAST_ROWS, bounded, written
 #: Cells that may be raked in the driver: text keys and a number each.
 MOST_CELLS = 100_000
 SWEEPS, CLOSE = 50, 1e-9
+#: Raking under the bound: sweeps, the error of a share that counts as met, and how often a budget out of reach is halved towards one within.
+CAPPED_SWEEPS, NEAR, HALVINGS = 100, 1e-6, 6
 
 
 def topic_of(text: Column) -> Column:
@@ -45,18 +51,23 @@ def tempered(shares: dict, power: float = 0.7) -> dict:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict], sweeps: int = SWEEPS, close: float = CLOSE) -> np.ndarray:
-    """A factor for each cell (a key for each margin), so that the shares of tokens * factor meet the targets.
-
-    Keys without a target keep no tokens; targets of absent keys are spread over the others in proportion.
-    """
-    factor = np.ones(len(tokens))
+def coded(cells: list[tuple], tokens: np.ndarray, targets: list[dict]) -> list[tuple]:
+    """For each margin, the number of each cell's key (-1 for one without tokens) and the wanted share of each key."""
     codes = []
     for i, target in enumerate(targets):
         keys = sorted({c[i] for c, t in zip(cells, tokens, strict=True) if t > 0}, key=str)
         at = {k: j for j, k in enumerate(keys)}
         want = np.array([target.get(k, 0.0) for k in keys])
         codes.append((np.array([at.get(c[i], -1) for c in cells], int), want / want.sum() if want.sum() else np.full(len(keys), 1 / max(len(keys), 1))))
+    return codes
+
+
+def rake(tokens: np.ndarray, codes: list[tuple], sweeps: int = SWEEPS, close: float = CLOSE) -> np.ndarray:
+    """A factor for each cell, so that the shares of tokens * factor meet the targets.
+
+    Keys without a target keep no tokens; targets of absent keys are spread over the others in proportion.
+    """
+    factor = np.ones(len(tokens))
     for _ in range(sweeps):
         off = 0.0
         for code, want in codes:
@@ -73,23 +84,56 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict], sweeps: in
     return factor
 
 
-def probabilities(tokens: np.ndarray, factor: np.ndarray, budget: float) -> np.ndarray:
-    """min(1, c * factor) with c such that the expected tokens kept are the budget, as far as the factors allow."""
-    order = np.argsort(-factor)
-    f, t = factor[order], tokens[order].astype(float)
-    full = np.concatenate([[0.0], np.cumsum(t)])  # tokens of cells kept whole
-    rest = np.concatenate([np.cumsum((f * t)[::-1])[::-1], [0.0]])
-    c = 0.0
-    for k in range(len(f)):  # the k largest are kept whole
-        if rest[k] <= 0:
+def most_kept(tokens: np.ndarray, codes: list[tuple]) -> float:
+    """The largest budget at which no key must keep more tokens than its own."""
+    most = np.inf
+    for code, want in codes:
+        own = np.bincount(code[code >= 0], weights=tokens[code >= 0], minlength=len(want))
+        some = (own > 0) & (want > 0)
+        most = min(most, float((own[some] / want[some]).min(initial=np.inf)))
+    return most
+
+
+def capped(tokens: np.ndarray, chance: np.ndarray, codes: list[tuple], budget: float, sweeps: int = CAPPED_SWEEPS) -> tuple[np.ndarray, float]:
+    """Probabilities of 1 at most whose expected tokens meet every margin of the budget, and the largest error of a share.
+
+    Raking under the bound: a key that keeps too much is scaled down whole; in one that keeps too little, what is
+    below 1 is scaled up and cut at 1.
+    """
+    chance, off = np.minimum(1.0, chance), 0.0
+    for _ in range(sweeps):
+        off = 0.0
+        for code, want in codes:
+            use, goal = code >= 0, want * budget
+            add = lambda w: np.bincount(code[use], weights=w[use], minlength=len(want))  # noqa: E731, B023
+            whole, rest = add(tokens * (chance >= 1)), add(tokens * chance * (chance < 1))
+            off = max(off, float(np.abs(whole + rest - goal).max(initial=0)) / budget)
+            less = whole + rest >= goal
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(less, goal / (whole + rest), np.where(rest > 0, (goal - whole) / rest, 1.0))
+            ratio = np.where(whole + rest > 0, ratio, 1.0)
+            scaled = use & (less[code] | (chance < 1))
+            chance[scaled] = np.minimum(1.0, chance[scaled] * ratio[code[scaled]])
+        if off < CLOSE:
             break
-        c = max(0.0, (budget - full[k]) / rest[k])
-        if c * f[k] <= 1:
+    return chance, off
+
+
+def within(start: float, most: float, safe: float, attempt: Callable[[float], tuple[Any, float]], fallback: Callable[[], Any]) -> Any:
+    """The attempt of the largest budget found whose margins come out within NEAR; safe is one that is known to."""
+    best, low, high = None, safe, min(start, most)
+    for i in range(HALVINGS + 1):
+        budget = high if i == 0 else (low + high) / 2
+        if budget <= safe:
             break
-    else:
-        c = np.inf if len(f) else 0.0
-    with np.errstate(invalid="ignore"):
-        return np.where(factor > 0, np.minimum(1.0, c * factor), 0.0)
+        found, off = attempt(budget)
+        if off <= NEAR:
+            best, low = found, budget
+            if i == 0:
+                break
+        else:
+            high = budget
+    return fallback() if best is None else best
 
 
 def _rake_wide(cells: DataFrame, margins: list[str], targets: list[dict], sweeps: int) -> DataFrame:
@@ -115,12 +159,32 @@ def _rake_wide(cells: DataFrame, margins: list[str], targets: list[dict], sweeps
     return cells
 
 
+def _capped_wide(cells: DataFrame, margins: list[str], wants: list[DataFrame], budget: float, sweeps: int = CAPPED_SWEEPS) -> tuple[DataFrame, float]:
+    """capped() by grouped sums, on cells with a column chance; wants have key, want and own."""
+    cells, off = cells.withColumn("chance", F.least(F.lit(1.0), "chance")), 0.0
+    for _ in range(sweeps):
+        off = 0.0
+        for m, want in zip(margins, wants, strict=True):
+            mass = F.col("tokens") * F.col("chance")
+            sums = cells.groupBy(F.col(m).alias("_k")).agg(F.sum(F.when(F.col("chance") >= 1, mass).otherwise(0.0)).alias("whole"), F.sum(F.when(F.col("chance") < 1, mass).otherwise(0.0)).alias("rest"))
+            found = sums.join(want, F.col("_k").eqNullSafe(F.col("_m"))).select("_m", "whole", "rest", (F.col("want") * budget).alias("goal"))
+            less = F.expr("whole + rest >= goal")
+            ratio = written(found.select("_m", (F.abs(F.expr("whole + rest - goal")) / budget).alias("off"), less.alias("less"), F.expr("case when whole + rest <= 0 then 1.0D when whole + rest >= goal then goal / (whole + rest) when rest > 0 then (goal - whole) / rest else 1.0D end").alias("ratio")), "ratio")
+            off = max(off, ratio.agg(F.max("off")).first()[0] or 0.0)
+            scaled = F.when(F.col("less") | (F.col("chance") < 1), F.least(F.lit(1.0), F.col("chance") * F.col("ratio"))).otherwise(F.col("chance"))
+            cells = cells.join(ratio, F.col(m).eqNullSafe(F.col("_m")), "left").withColumn("chance", F.coalesce(scaled, "chance")).drop("_m", "off", "less", "ratio")
+        cells = written(cells, "chances")
+        if off < CLOSE:
+            break
+    return cells, off
+
+
 def mix(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: dict[str, dict] | None = None, *, keep: float = 0.9, power: float = 0.7, id_col: str = "doc_id", seed: int = 10, most_cells: int = MOST_CELLS) -> DataFrame:
     """docs with _tokens, _weight (the cell's raked factor), _probability and _kept for each row.
 
     margins name expressions over docs; a null key is a group of its own. targets give shares by margin and key; a
-    margin without is tempered (shares to the power, scaled). keep is the expected share of tokens to stay. Rows of a
-    cell without tokens weigh 1 and stay with probability keep. The draw hashes the id (a null id like any value), so
+    margin without is tempered (shares to the power, scaled). keep is the most that is expected to stay of all tokens;
+    less does where the margins can't be met otherwise. Rows of a cell without tokens weigh 1 and stay with probability keep. The draw hashes the id (a null id like any value), so
     repeated rows share their fate. An empty table gives an empty table.
     """
     names = [f"_m{i}" for i in range(len(margins))]
@@ -132,29 +196,39 @@ def mix(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: di
             goals.append(targets[m])
         else:
             goals.append(None)
-    count = cells.count()
+    count, spark = cells.count(), cells.sparkSession
     if count <= most_cells:
         rows = cells.collect()  # most_cells at the most, as just counted
         keys, mass = [tuple(r[n] for n in names) for r in rows], np.array([r.tokens for r in rows], float)
         goals = [g if g is not None else tempered({k: mass[[c[i] == k for c in keys]].sum() / max(mass.sum(), 1) for k in {c[i] for c in keys}}, power) for i, g in enumerate(goals)]
-        factor = rake(keys, mass, goals)
-        chance = np.where(mass > 0, probabilities(mass, factor, keep * mass.sum()), keep)
+        codes = coded(keys, mass, goals)
+        factor = rake(mass, codes)
+        weighed, largest = float((mass * factor).sum()), float(factor[mass > 0].max(initial=0))
+        even = lambda budget: factor * budget / weighed if weighed else factor * 0.0
+        start, safe = keep * mass.sum(), weighed / largest if largest else 0.0
+        chance = within(start, most_kept(mass * (factor > 0), codes), safe, lambda budget: capped(mass, even(budget), codes, budget), lambda: even(min(start, safe)))
+        chance = np.where(mass > 0, chance, keep)
         schema = ", ".join(f"`{n}` string" for n in names) + ", _weight double, _probability double"
-        table = cells.sparkSession.createDataFrame([(*k, float(f), float(p)) for k, f, p in zip(keys, factor, chance, strict=True)], schema)
+        table = spark.createDataFrame([(*k, float(f), float(p)) for k, f, p in zip(keys, factor, chance, strict=True)], schema)
     else:
         total = cells.agg(F.sum("tokens")).first()[0]
         for i, n in enumerate(names):
             if goals[i] is None:
                 goals[i] = tempered(dict(cells.groupBy(n).agg((F.sum("tokens") / total)).collect()), power)  # one number a key
         raked = _rake_wide(cells, names, goals, SWEEPS)
-        low, high = 0.0, 1e9
-        for _ in range(60):  # the factor of the budget, by halving
-            c = (low + high) / 2 if low else high / 2**30
-            got = raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * c))).first()[0]
-            low, high = (c, high) if got < keep * total else (low, c)
-            if high - low < 1e-9 * high:
-                break
-        table = raked.select(*names, F.col("factor").alias("_weight"), F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") * high)).otherwise(keep).alias("_probability"))
+        alive = raked.filter("tokens > 0 and factor > 0")
+        weighed, largest = alive.agg(F.sum(F.col("tokens") * F.col("factor")), F.max("factor")).first()
+        even = lambda budget: raked.withColumn("chance", F.col("factor") * (budget / weighed if weighed else 0.0))
+        start, safe, most, wants = keep * (total or 0), weighed / largest if largest else 0.0, float("inf"), []
+        for n, goal in zip(names, goals, strict=True):
+            target = spark.createDataFrame(list(goal.items()), "_k string, want double")
+            own = raked.filter("tokens > 0").groupBy(F.col(n).alias("_m")).agg(F.sum(F.when(F.col("factor") > 0, F.col("tokens")).otherwise(0)).alias("own"))
+            own = written(own.join(target, F.col("_m").eqNullSafe(F.col("_k")), "left").select("_m", "own", F.coalesce("want", F.lit(0.0)).alias("want")), "wants")
+            wanted, groups = own.agg(F.sum("want"), F.count(F.lit(1))).first()
+            wants.append(own.select("_m", "own", (F.col("want") / wanted if wanted else F.lit(1.0) / max(groups, 1)).alias("want")))
+            most = min(most, wants[-1].filter("own > 0 and want > 0").agg(F.min(F.col("own") / F.col("want"))).first()[0] or most)
+        chances = within(start, most, safe, lambda budget: _capped_wide(even(budget), names, wants, budget), lambda: even(min(start, safe)))
+        table = chances.select(*names, F.col("factor").alias("_weight"), F.when(F.col("tokens") > 0, F.col("chance")).otherwise(keep).alias("_probability"))
     same = reduce(lambda a, b: a & b, [marked[n].eqNullSafe(table[n]) for n in names])
     draw = (F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("_draw")
     return (
