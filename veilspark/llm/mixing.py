@@ -30,12 +30,12 @@ CAPPED_SWEEPS, NEAR, HALVINGS = 100, 1e-6, 6
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse kind of text by how often single characters occur: empty, brief, loud, tabular, marked, listed or prose."""
-    n = F.octet_length(text)
-    count = lambda c: n - F.octet_length(F.replace(text, F.lit(c), F.lit("")))  # noqa: E731  replacing a character costs less than a regex
+    """A coarse kind of text by the share of its code points in classes: empty, brief, loud, marked, listed or prose."""
+    n = F.length(text)
+    count = lambda chars: n - F.length(F.translate(text, chars, ""))  # noqa: E731  deletes the whole class in one pass
     return (
-        F.when(text.isNull() | (n == 0), "empty").when(n < 200, "brief").when(count("!") * 40 > n, "loud").when(count("|") * 40 > n, "tabular")
-        .when(count("%") * 40 > n, "marked").when(count("\n") * 60 > n, "listed").otherwise("prose")
+        F.when(text.isNull() | (n == 0), "empty").when(n < 200, "brief").when(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 5 > n, "loud")
+        .when(count("#$%&*|") * 5 > n, "marked").when(count("\n") * 60 > n, "listed").otherwise("prose")
     )
 
 
