@@ -47,6 +47,27 @@ def test_join_of_one_large_group_meets_block_by_block(spark, monkeypatch):
     assert kept == {c for _, _, c in brute.joined(rows)}
 
 
+def test_join_counts_every_link(spark, monkeypatch):
+    rng = random.Random(14)
+    base, rows = brute.words(rng, 60, 9000), []
+    for k in range(30):  # a dense group, a chain and copies
+        copy = list(base)
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    chain = brute.words(rng, 120, 9000)
+    rows += [(100 + k, " ".join(chain[2 * k : 2 * k + 60])) for k in range(12)]
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (202, "alone"), (203, "Alone"), (204, None), (None, rows[3][1])]
+    sets = [brute.shingles(t) for _, t in rows]
+    links = [sum(1 for j, b in enumerate(sets) if i != j and a & b and 100 * len(a & b) >= 80 * len(a | b)) for i, a in enumerate(sets)]
+    want = sorted([(*r, n) for r, n in zip(brute.joined(rows), links)], key=str)
+    for block in (1024, 7):
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+        got = ngram_join.ngram_jaccard_join(brute.docs(spark, rows), frequent=4, count_links=True)
+        assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_join_of_empty_tables(spark):
     assert ngram_join.ngram_jaccard_join(brute.docs(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_jaccard_join(brute.docs(spark, [(4, None)])).collect()] == [(4, 0, 4)]

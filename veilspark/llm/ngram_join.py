@@ -16,9 +16,10 @@ the join are shingles, ordered by how many different sets hold them, rarest firs
    of them survives: no link is lost. Class counts depend on the set's size band; a set near a band's end indexes
    in both bands.
 4. Sets that share an index entry form candidate groups, found by linking each entry's sets to its smallest. Groups
-   are cut into blocks of bounded size; each pair of blocks is verified in one task on bit sets, which returns only
-   the links that join what is not yet joined. No list of pairs is ever made.
-5. The components of those links, spread to the copies.
+   are cut into blocks of bounded size; each pair of blocks is verified in one task on bit sets: every pair of fitting
+   sizes. The task returns how many links each set has, and only those links that join what is not yet joined. No
+   list of pairs is ever made.
+5. The components of those links and the sums of links, spread to the copies.
 """
 
 from __future__ import annotations
@@ -245,9 +246,13 @@ def _index(percent: int, frequent: int):
     return run
 
 
-def links_among(sets: list[np.ndarray], percent: int, split: int = 0) -> list[tuple[int, int]]:
-    """Links that join the sets into their components; with split, only pairs across that position are looked at."""
+def links_among(sets: list[np.ndarray], percent: int, split: int = 0, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join the sets into their components, and for each set how many documents the sets it links with stand for.
+
+    Every pair of fitting sizes is verified; with split, only pairs across that position are.
+    """
     m = len(sets)
+    copies = np.ones(m, np.int64) if copies is None else copies
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
@@ -257,19 +262,22 @@ def links_among(sets: list[np.ndarray], percent: int, split: int = 0) -> list[tu
     bit = slot[index[shared[index]]]
     bits = np.zeros((m, int(shared.sum()) // 64 + 1), np.uint64)
     np.bitwise_or.at(bits, (row, bit >> 6), U64(1) << (bit & 63).astype(np.uint64))
-    label, found = np.arange(m), []
+    label, found, links = np.arange(m), [], np.zeros(m, np.int64)
     for i in range(split or m - 1):
         others = np.arange(split, m) if split else np.arange(i + 1, m)
         a, b = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-        others = others[(label[others] != label[i]) & (100 * a >= percent * b)]
+        others = others[100 * a >= percent * b]
         for k in range(0, len(others), 256):
             part = others[k : k + 256]
             both = np.bitwise_count(bits[i] & bits[part]).sum(axis=1, dtype=np.int64)
-            for j in part[100 * both >= percent * (sizes[i] + sizes[part] - both)]:
+            linked = part[100 * both >= percent * (sizes[i] + sizes[part] - both)]
+            links[i] += copies[linked].sum()
+            links[linked] += copies[i]
+            for j in linked[label[linked] != label[i]]:
                 if label[i] != label[j]:
                     label[label == label[j]] = label[i]
                     found.append((i, int(j)))
-    return found
+    return found, links
 
 
 def _verify(percent: int):
@@ -281,13 +289,24 @@ def _verify(percent: int):
         split = bool(table.column("block_b")[0].as_py() != table.column("block_a")[0].as_py())
         order = np.lexsort((ids, block, group))
         cuts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1], [True]]))
+        copies = table.column("copies").to_numpy()
         out: list[tuple[int, int]] = []
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(cuts, cuts[1:]):
             rows = order[a:b]
             at = int(np.searchsorted(block[rows], block[rows][0], "right")) if split else 0
             if len(rows) > 1 and at < len(rows):
-                out += [(int(ids[rows[i]]), int(ids[rows[j]])) for i, j in links_among([flat[where[r] : where[r + 1]] for r in rows], percent, at)]
-        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+                found, links = links_among([flat[where[r] : where[r + 1]] for r in rows], percent, at, copies[rows])
+                out += [(int(ids[rows[i]]), int(ids[rows[j]])) for i, j in found]
+                counted.append((ids[rows[links > 0]], links[links > 0]))
+        # a row is a spanning link, or a set with the links this task found
+        some = np.concatenate([c[0] for c in counted]) if counted else np.zeros(0, np.int64)
+        n = np.concatenate([c[1] for c in counted]) if counted else np.zeros(0, np.int64)
+        return pa.table({
+            "u": pa.concat_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array(some, pa.int64())]),
+            "v": pa.concat_arrays([pa.array([y for _, y in out], pa.int64()), pa.nulls(len(some), pa.int64())]),
+            "links": pa.concat_arrays([pa.nulls(len(out), pa.int64()), pa.array(n, pa.int64())]),
+        })
 
     return run
 
@@ -302,8 +321,9 @@ def _candidates(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
     return components(entries.join(hub, "entry").filter("set_id <> hub").select("hub", "set_id"))
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 80, frequent: int = FREQUENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per input row: id, n_shingles (long), component_id (the smallest id reachable by links).
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 80, frequent: int = FREQUENT, broadcast_rows: int = BROADCAST_ROWS, count_links: bool = False) -> DataFrame:
+    """One row per input row: id, n_shingles (long), component_id (the smallest id reachable by links); with count_links
+    also n_links (long), the number of other rows it links with.
 
     Words are runs of bytes other than white space, A-Z lower-cased; a text with fewer words than size is one
     shingle. Texts without words (null, empty, blank) have size 0 and link with nothing, so component_id is their own
@@ -312,18 +332,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(docs.mapInArrow(_summary(size, ["doc_id", "set_id", "n_shingles"]), "doc_id long, set_id long, n_shingles long"), "sizes")
-    sets = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
+    sets = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     entries = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-entries // COUNT_ENTRIES))
     counted = docs.select("text").mapInArrow(_deal(size, buckets), "bucket int, ids binary, counts binary, entries binary, shared binary")
     alone = counted.groupBy("bucket").applyInArrow(_alone(buckets), "pack int, ids binary, n binary").groupBy("pack").applyInArrow(_total, "set_id long, alone long")
-    left = written(sets.join(alone, "set_id", "left").filter(F.expr(f"100 * (n - coalesce(alone, 0)) >= {percent} * n and n > 1")).select("set_id", "n", "doc_id"), "left")
+    left = written(sets.join(alone, "set_id", "left").filter(F.expr(f"100 * (n - coalesce(alone, 0)) >= {percent} * n and n > 1")).select("set_id", "n", "doc_id", "copies"), "left")
     chosen = left.select("doc_id").distinct()
     kept = docs.join(bounded(chosen, chosen.count(), broadcast_rows), docs.doc_id.eqNullSafe(chosen.doc_id), "left_semi")
     texts = kept.select("text").mapInArrow(_tokens(size), "set_id long, n long, tokens array<long>").dropDuplicates(["set_id"])
-    texts = written(texts, "sets")
+    texts = written(texts.join(left.select("set_id", "copies"), "set_id").select("set_id", "n", "tokens", "copies"), "sets")
     groups = _candidates(texts, percent, frequent)
-    placed = texts.join(groups, texts.set_id == groups.node).select("set_id", "n", "tokens", F.col("component").alias("group_id"))
+    placed = texts.join(groups, texts.set_id == groups.node).select("set_id", "n", "tokens", "copies", F.col("component").alias("group_id"))
     sizes = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     sizes = written(sizes.select("group_id", "total", F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks")), "groups")
     bins = max(1, (sizes.agg(F.sum("total")).first()[0] or 0) // BLOCK_SHINGLES)
@@ -333,14 +353,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.expr(f"if(blocks = 1, pmod(xxhash64(group_id), {bins}), group_id)").alias("place"),
         F.expr("if(blocks = 1, -1, least(block, other))").alias("block_a"),
         F.expr("if(blocks = 1, -1, greatest(block, other))").alias("block_b"),
-        "group_id", "block", "set_id", "tokens",
+        "group_id", "block", "set_id", "tokens", "copies",
     )
-    links = placed.groupBy("place", "block_a", "block_b").applyInArrow(_verify(percent), "u long, v long")
-    joined = components(links)
+    found = written(placed.groupBy("place", "block_a", "block_b").applyInArrow(_verify(percent), "u long, v long, links long"), "links")
+    joined = components(found.filter("v is not null").select("u", "v"))
     least = joined.join(sets, joined.node == sets.set_id).groupBy("component").agg(F.min("doc_id").alias("low"))
     label = joined.join(least, "component").select(F.col("node").alias("set_id"), "low")
-    label = sets.select("set_id", "doc_id").join(label, "set_id", "left").select("set_id", F.coalesce("low", "doc_id").alias("low"))
-    return rows.join(label, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    label = sets.select("set_id", "doc_id", "copies").join(label, "set_id", "left").select("set_id", F.coalesce("low", "doc_id").alias("low"), "copies")
+    out = ["doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id")]
+    if count_links:
+        links = found.filter("v is null").groupBy(F.col("u").alias("set_id")).agg(F.sum("links").alias("links"))
+        label = label.join(links, "set_id", "left")
+        out.append(F.expr("if(n_shingles > 0, copies - 1 + coalesce(links, 0), 0L)").alias("n_links"))
+    return rows.join(label, "set_id", "left").select(*out)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

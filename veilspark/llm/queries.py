@@ -31,7 +31,7 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.ngram_join import ngram_jaccard_join
 
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
