@@ -262,3 +262,15 @@ def test_topics_count_whole_classes_in_code_points(spark):
     rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
     got = brute.table(spark, rows, "doc_id long, text string, want string").select("text", "want", mixing.topic_of(F.col("text")).alias("topic")).collect()
     assert [(r.text, r.topic) for r in got] == [(r.text, r.want) for r in got]
+
+
+def test_toxicity_learns_insults_rarer_than_a_hundredth(spark):
+    rng = random.Random(15)
+    rare = [f"{a}zq{b}" for a in "bdfgk" for b in ("orp", "ilm", "ent", "ask")]  # each in 25 of 4000 toxic texts
+    rows = [(i, " ".join(brute.words(rng, 12) + (["glarp"] if i >= 500 else [rare[i % 20]]))) for i in range(4000)]
+    rows += [(10_000 + i, " ".join(brute.words(rng, 12))) for i in range(4000)]
+    labels = brute.table(spark, [(i, int(i < 10_000)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(brute.docs(spark, rows), labels)
+    matcher = toxicity.Matcher(model)
+    assert all(matcher.total(toxicity.fold(w)) > 0 for w in [*rare, "glarp"])
+    assert not any(matcher.total(f"w{i}") for i in range(400))

@@ -7,7 +7,7 @@ weight that matches it. The sum of weights S gives two measures, log(1 + S) and
 a logistic curve over them gives the score, so a long text needs more matches than a short one.
 
 Weights come from labelled rows, copies and most near copies counted once: stems of 3 to 12 letters and whole words, by how
-many toxic and clean texts hold them. A pattern needs a hundredth of the toxic texts and log odds well above their error. Of stems that the same texts hold the longest stays; longer ones go where a stem of theirs weighs as much.
+many toxic and clean texts hold them. A pattern needs LEAST toxic texts and log odds well above their error. Of stems that the same texts hold the longest stays; longer ones go where a stem of theirs weighs as much.
 The fixed words below are matched as well, with a default weight where the labels say nothing.
 """
 
@@ -47,6 +47,8 @@ END = "\n"
 #: Labelled rows of each class that the lexicon is fitted on: those of least hash.
 MOST_TOXIC, MOST_CLEAN = 8_000, 16_000
 SHORTEST, LONGEST = 3, 12
+#: Toxic texts that must hold a pattern, and log odds, less their error, that it must reach.
+LEAST, LEAST_WEIGHT = 4, 3.0
 
 
 def fold(text: str) -> str:
@@ -113,19 +115,15 @@ def patterns(text: str) -> set[str]:
     return out
 
 
-def _count(wanted: frozenset | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = patterns(text or "")
-                seen.update(found if wanted is None else found & wanted)
-            if len(seen) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            seen.update(patterns(text or ""))
+        if len(seen) > 2_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+            seen.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +140,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.view(np.int64))], names=["text", "_y", "_g"])
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_weight: float = 3.0) -> dict[str, float]:
+def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_weight: float = LEAST_WEIGHT) -> dict[str, float]:
     """Weights (log odds of holding the pattern) of the patterns worth matching."""
     weight = {p: float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((clean.get(p, 0) + 0.5) / (n_clean + 1))) for p, t in toxic.items()}
     error = {p: float(np.sqrt(1 / (t + 0.5) + 1 / (clean.get(p, 0) + 0.5))) for p, t in toxic.items()}
@@ -190,10 +188,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model()
     if not n.get(0) or not n.get(1):
         return model
-    least = max(4, n[1] // 100)
-    count = lambda y, wanted: dict(rows.filter(F.col("_y") == y).select("text").mapInArrow(_count(wanted), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).filter(F.col("n") >= (least if y else 1)).collect())
-    toxic = count(1, None)  # at most 100 times a text's patterns, as each is in a hundredth of the texts
-    clean = count(0, frozenset(toxic))
+    # a pattern's counts in both classes, those cut that choose() would refuse for their weight: what is collected grows with the evidence, not the texts
+    counts = written(rows.filter("_y = 1").select("text").mapInArrow(_count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("t")).filter(F.col("t") >= LEAST), "toxic")
+    clean = rows.filter("_y = 0").select("text").mapInArrow(_count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("c"))
+    both = counts.join(clean, "pattern", "left").select("pattern", "t", F.coalesce("c", F.lit(0)).alias("c"))
+    weight = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
+    error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    both = written(both.withColumn("fits", weight - error >= LEAST_WEIGHT - 1e-9), "counted")
+    # choose() also asks how many texts hold a pattern's longest extension; only one that fits itself needs it
+    longest = both.groupBy(F.expr("left(pattern, length(pattern) - 1)").alias("of")).agg(F.max("t").alias("longer"))
+    found = both.filter("fits").join(longest, F.col("pattern") == F.col("of"), "left").filter("longer is null or longer < 0.9D * t").select("pattern", "t", "c").collect()
+    toxic, clean = {r.pattern: r.t for r in found}, {r.pattern: r.c for r in found}
     model.weights |= choose(toxic, clean, n[1], n[0])
     points = rows.select("text", "_y").mapInArrow(_measure(model), "y int, a double, b double").collect()  # three numbers a sampled row
     model.curve = _logistic(np.array([(p.a, p.b) for p in points]), np.array([p.y for p in points], float))
