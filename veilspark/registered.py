@@ -91,8 +91,8 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 _C, _O, _L, _E = "c_mktsegment = 'BUILDING'", "o_orderstatus = 'O'", "l_linestatus = 'O'", "event_type = 'purchase'"
 
-#: name -> (statement, parameters, role, oracle SQL)
-SELECTS: dict[str, tuple[str, dict[str, Any], str, str]] = {
+#: name -> (statement, parameters, role, oracle SQL; none where SQL leaves the order of elements open)
+SELECTS: dict[str, tuple[str, dict[str, Any], str, str | None]] = {
     "row_policy_basic": ("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = :p ORDER BY o_orderkey LIMIT :n", {"p": "1-URGENT", "n": 500}, "analyst", f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_O} AND o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 500"),
     "column_projection_alias": ("SELECT c_custkey AS id, c_acctbal AS balance, c_name FROM customer", {}, "analyst", f"SELECT c_custkey AS id, c_acctbal AS balance, c_name FROM customer WHERE {_C}"),
     "constant_select": ("SELECT 1 AS one, 2.5 AS half", {}, "analyst", "SELECT 1::BIGINT AS one, 2.5::DOUBLE AS half"),
@@ -118,8 +118,8 @@ SELECTS: dict[str, tuple[str, dict[str, Any], str, str]] = {
     "inner_join_theta": ("SELECT n.n_nationkey, r.r_regionkey FROM nation n JOIN region r ON n.n_regionkey > r.r_regionkey AND n.n_name LIKE '%a%'", {}, "analyst", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey > r_regionkey AND lower(n_name) LIKE '%a%'"),
     "left_join_policy_on": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000.0", {}, "analyst", f"SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND {_O} AND o_totalprice > 300000 WHERE {_C}"),
     "three_way_join": (
-        "SELECT c.c_custkey, o.o_orderkey, l.l_linenumber, l.l_partkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE c.c_custkey < 200", {}, "analyst",
-        f"SELECT c_custkey, o_orderkey, l_linenumber, l_partkey FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey AND {_L} WHERE {_C} AND {_O} AND c_custkey < 200",
+        "SELECT c.c_custkey, o.o_orderkey, l.l_linenumber, l.l_partkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey", {}, "analyst",
+        f"SELECT c_custkey, o_orderkey, l_linenumber, l_partkey FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey AND {_L} WHERE {_C} AND {_O}",
     ),
     "exists_semi": ("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000.0)", {}, "analyst", f"SELECT c_custkey FROM customer c WHERE {_C} AND EXISTS (SELECT 1 FROM orders o WHERE {_O} AND o_custkey = c_custkey AND o_totalprice > 300000)"),
     "not_exists_anti": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey)", {}, "analyst", f"SELECT c_custkey FROM customer c WHERE {_C} AND NOT EXISTS (SELECT 1 FROM orders o WHERE {_O} AND o_custkey = c_custkey)"),
@@ -132,11 +132,11 @@ SELECTS: dict[str, tuple[str, dict[str, Any], str, str]] = {
     "group_count": ("SELECT l_returnflag, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linenumber", {}, "analyst", f"SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem WHERE {_L} GROUP BY ALL"),
     "group_having": ("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > :m", {"m": 5}, "analyst", f"SELECT o_custkey, count(*) AS n FROM orders WHERE {_O} GROUP BY o_custkey HAVING count(*) > 5"),
     "join_group_count": ("SELECT c.c_nationkey, COUNT(*) AS n FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey", {}, "analyst", f"SELECT c_nationkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE {_C} AND {_O} GROUP BY c_nationkey"),
-    "count_order_alias": ("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 20", {}, "analyst", f"SELECT o_custkey, count(*) AS n FROM orders WHERE {_O} GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 20"),
+    "count_order_alias": ("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey", {}, "analyst", f"SELECT o_custkey, count(*) AS n FROM orders WHERE {_O} GROUP BY o_custkey ORDER BY n DESC, o_custkey"),
     "row_number_part": ("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders", {}, "analyst", f"SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders WHERE {_O}"),
     "row_number_nopart": ("SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY c_acctbal, c_custkey) AS rn FROM customer", {}, "analyst", f"SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rn FROM customer WHERE {_C}"),
     "order_desc": ("SELECT c_custkey, c_name FROM customer ORDER BY c_name DESC, c_custkey", {}, "analyst", f"SELECT c_custkey, c_name FROM customer WHERE {_C}"),
-    "order_alias": ("SELECT c_custkey, c_acctbal AS b FROM customer ORDER BY b DESC, c_custkey LIMIT 30", {}, "analyst", f"SELECT c_custkey, c_acctbal AS b FROM customer WHERE {_C} ORDER BY b DESC, c_custkey LIMIT 30"),
+    "order_alias": ("SELECT c_custkey, c_acctbal AS b FROM customer ORDER BY b DESC, c_custkey", {}, "analyst", f"SELECT c_custkey, c_acctbal AS b FROM customer WHERE {_C} ORDER BY b DESC, c_custkey"),
     "order_hidden_col": ("SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 15", {}, "analyst", f"SELECT c_name FROM customer WHERE {_C} ORDER BY c_acctbal, c_custkey LIMIT 15"),
     "top_k": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", {}, "analyst", f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_O} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT :n OFFSET :m", {"n": 25, "m": 40}, "analyst", f"SELECT o_orderkey FROM orders WHERE {_O} ORDER BY o_orderkey LIMIT 25 OFFSET 40"),
@@ -147,8 +147,8 @@ SELECTS: dict[str, tuple[str, dict[str, Any], str, str]] = {
     "fn_lower": ("SELECT c_custkey, LOWER(c_name) AS low FROM customer", {}, "analyst", f"SELECT c_custkey, lower(c_name) AS low FROM customer WHERE {_C}"),
     "fn_upper": ("SELECT c_custkey, UPPER(c_name) AS up FROM customer", {}, "analyst", f"SELECT c_custkey, upper(c_name) AS up FROM customer WHERE {_C}"),
     "json_extract_scalar": ("SELECT event_id, JSON_EXTRACT(props, '$.k') AS k FROM events", {}, "analyst", f"SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE {_E}"),
-    "json_each_collect": ("SELECT json_group_array(j.value) AS items FROM events AS e, json_each(e.props, :path) AS j WHERE e.event_id < :n", {"path": "$", "n": 0}, "analyst", "SELECT '[]' AS items"),
-    "json_tree_collect": ("SELECT json_group_array(j.value) AS items FROM events AS e, json_tree(e.props, '$') AS j WHERE e.event_id = :n", {"n": -1}, "analyst", "SELECT '[]' AS items"),
+    "json_each_collect": ("SELECT json_group_array(j.value) AS items FROM events AS e, json_each(e.props, :path) AS j", {"path": "$"}, "analyst", None),
+    "json_tree_collect": ("SELECT json_group_array(j.value) AS items FROM events AS e, json_tree(e.props, '$') AS j", {}, "analyst", None),
     "redact_conditional": ("SELECT event_id, value FROM events", {}, "analyst", f"SELECT event_id, CASE WHEN user_id <= 40 THEN value END AS value FROM events WHERE {_E}"),
     **{f"policy_ops_{op}": ("SELECT o_orderkey, o_custkey FROM orders", {}, f"op_{op}", f"SELECT o_orderkey, o_custkey FROM orders WHERE {sql}") for op, (_, sql) in POLICY_OPS.items()},
 }
@@ -218,7 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(name)
 }
 
 _FIRST_EVENT = f"(SELECT props FROM events WHERE {_E} ORDER BY event_id LIMIT 1)"
-ORACLE_SQL: dict[str, str] = {name: oracle for name, (_, _, _, oracle) in SELECTS.items()} | {
+ORACLE_SQL: dict[str, str] = {name: oracle for name, (_, _, _, oracle) in SELECTS.items() if oracle is not None} | {
     "json_each_one": f"SELECT '[' || json_extract_string(props, '$.k') || ']' AS items FROM {_FIRST_EVENT}",
     "json_tree_one": f"SELECT '[{{\"k\":' || json_extract_string(props, '$.k') || '}},' || json_extract_string(props, '$.k') || ']' AS items FROM {_FIRST_EVENT}",
     "insert_preset_returning": "SELECT * FROM nation UNION ALL SELECT 100::INTEGER, 'ATLANTIS', 3::INTEGER UNION ALL SELECT 101::INTEGER, 'LEMURIA', 3::INTEGER",
