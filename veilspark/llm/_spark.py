@@ -100,8 +100,21 @@ def edges_below(column: Column, edges: list) -> Column:
     return F.least(past * width, F.lit(len(edges))) + F.when(past < len(groups), F.size(F.filter(F.get(table, past), lambda e: e < column))).otherwise(0)
 
 
+def bitmap(places: DataFrame, column: str, log_bits: int) -> bytes:
+    """A bit for each place (a long from 0, below 2**log_bits) that occurs; bytes have their lowest bit first.
+
+    Built where the rows are; the driver gets at most the 2**log_bits bits, 4 KB at a time.
+    """
+    place = F.col(column) + 1
+    parts = places.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
+    out = bytearray(max((1 << log_bits) // 8, 4096))
+    for r in parts.toLocalIterator():
+        out[(r.b - 1) * 4096 : r.b * 4096] = r.m
+    return bytes(out)
+
+
 def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bounded", "components", "edges_below", "packed", "shared_dir", "ship", "written"]
+__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bitmap", "bounded", "components", "edges_below", "packed", "shared_dir", "ship", "written"]

@@ -22,6 +22,9 @@ _rng = np.random.default_rng(20240117)
 _CODES = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
+#: A second family, for checks of what the first finds equal.
+_CHECK_CODES = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * U64(2) + U64(1)
+_CHECK_BASE = 0xA0761D6478BD642F
 
 
 def _lowered(codes: np.ndarray) -> np.ndarray:
@@ -30,7 +33,7 @@ def _lowered(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-_LOWER_CODES = _lowered(_CODES)
+_LOWER_CODES, _LOWER_CHECK_CODES = _lowered(_CODES), _lowered(_CHECK_CODES)
 
 #: Word separators: white space bytes.
 SPACE = np.zeros(256, bool)
@@ -70,7 +73,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = _Powers(_BASE), _Powers(_WORD_BASE)
+_BYTES, _WORDS, _CHECK_BYTES = _Powers(_BASE), _Powers(_WORD_BASE), _Powers(_CHECK_BASE)
 
 
 @dataclass
@@ -124,15 +127,26 @@ def words(chunk: Chunk, separators: np.ndarray, lower: bool) -> Words:
     before[:n] = inside
     before[offsets] = False
     end = np.flatnonzero(inside & ~before[1:]) + 1
-    up, down = _BYTES.get(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER_CODES if lower else _CODES)[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    hashes = _word_hashes(data, start, end, _LOWER_CODES if lower else _CODES, _BYTES)
     per_doc = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(per_doc))
     return Words(start, end, doc, hashes, per_doc)
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray, powers: _Powers) -> np.ndarray:
+    n = len(data)
+    up, down = powers.get(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(codes[data] * up[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def checked(chunk: Chunk, w: Words, lower: bool) -> Words:
+    """The same words with hashes of the second family: what agrees in both families is equal but for 2**-128 a pair."""
+    hashes = _word_hashes(chunk.data, w.start, w.end, _LOWER_CHECK_CODES if lower else _CHECK_CODES, _CHECK_BYTES)
+    return Words(w.start, w.end, w.doc, hashes, w.per_doc)
+
+
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the size words from each position, and whether they all lie in one document."""
     n = len(w.hash)
