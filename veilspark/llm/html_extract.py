@@ -4,7 +4,8 @@ A forgiving parser builds the tree of block elements (inline elements belong to
 of its tag, its own and its ancestors' attribute words, depth, place among its siblings, and of its subtree: text, link
 and tag density, punctuation, words. Boosted regression trees give each block the odds of being main text. Decoding
 keeps or drops blocks so that the summed log odds are greatest while a kept block's ancestors are kept and a dropped
-block's descendants are dropped, so no choice contradicts another. Scripts, styles, comments and the like are no text.
+block's descendants are dropped, so no choice contradicts another. Scripts, styles, comments and the like are no text;
+nor is what stands in for content that a browser shows otherwise (noscript, template, object) where it is closed.
 
 The trees are trained on pages drawn here from many layouts, whose main text is known; training takes seconds and is
 the same each time.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -22,9 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements without content, elements whose content is no text, inline elements, and those that a block start closes.
+from veilspark.llm._spark import ship
+
+#: Elements without content, elements whose content is raw and no text, others whose content isn't shown,
+#: inline elements, and those that a block start closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "select", "svg", "iframe", "object", "title", "head")
+RAW = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
+PAIRED = ("noscript", "template", "object")
+HIDING = frozenset((*RAW, *PAIRED, "select", "svg"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: Words of class, id and role that speak for or against main text.
@@ -36,11 +43,71 @@ AGAINST = frozenset(
 GROUPS = (("article",), ("main",), ("p", "pre", "blockquote"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("nav", "menu"), ("footer",), ("header",), ("aside",), ("form", "button", "fieldset", "input"), ("li",), ("ul", "ol", "dl"), ("div", "section"), ("table", "tr", "td", "th", "tbody"), ("html", "body", ""))
 _GROUP = {tag: i for i, tags in enumerate(GROUPS) for tag in tags}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# a quote opens a value only after an equals sign, so it may stand in an unquoted value; one that is never closed ends with the tag
+_TAG = re.compile(r"<!--(?:-?>|.*?--!?>)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
+_PAIR = {tag: re.compile(rf"<(/?){tag}\b[^>]*(?:>|\Z)", re.I) for tag in PAIRED}
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(P_ENDS | {'html', 'body', 'li', 'tr', 'td', 'th', 'dd', 'dt'}, key=lambda t: (-len(t), t)))})\b", re.I)
+_SELECT_END = re.compile(r"</select\b[^>]*(?:>|\Z)|<(?!/?(?:option|optgroup|hr)\b)/?[a-z]", re.I)
+_FOREIGN_END = re.compile(r"</foreignobject\b[^>]*(?:>|\Z)", re.I)
+_SVG_PART = re.compile(rf"<(/?)(svg|foreignobject|{'|'.join(sorted(P_ENDS | {'b', 'body', 'br', 'code', 'em', 'i', 'img', 'li', 'span', 'strong', 'sub', 'sup', 'tt', 'u', 'var'}, key=lambda t: (-len(t), t)))})\b[^>]*(?:>|\Z)", re.I)
+
+
+class Hidden:
+    """Where the content ends that a page doesn't show; every rule reads forward, so a page is read a fixed number of times.
+
+    Raw content ends at its end tag; without one at the next block tag, so an unclosed script hides no article. A select
+    ends at the first tag that it can't hold, an svg at the first tag of HTML outside a foreignObject. The others end
+    at the end tag that pairs with them; without one their start tag is ignored and what follows is read as usual.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.never, self.pairs = source, set(), {}
+
+    def end(self, tag: str, start: int, at: int) -> int:
+        """Place after the content of the element whose tag spans start to at."""
+        source = self.source
+        if tag in _RAW_END:
+            if tag not in self.never and (m := _RAW_END[tag].search(source, at)):
+                return m.end()
+            self.never.add(tag)
+            return m.start() if (m := _BLOCK.search(source, at)) else len(source)
+        if tag in _PAIR:
+            return self.paired(tag).get(start, at)
+        if tag == "select":
+            m = _SELECT_END.search(source, at)
+            return at if m is None else m.end() if m[0][:8].lower() == "</select" else m.start()
+        return self.svg(at)
+
+    def paired(self, tag: str) -> dict[int, int]:
+        if tag not in self.pairs:
+            ends, open_ = {}, []
+            for m in _PAIR[tag].finditer(self.source):
+                if not m[1]:
+                    open_.append(m.start())
+                elif open_:
+                    ends[open_.pop()] = m.end()
+            self.pairs[tag] = ends
+        return self.pairs[tag]
+
+    def svg(self, at: int) -> int:
+        depth, here = 1, at
+        while "svg" not in self.never and (m := _SVG_PART.search(self.source, here)):
+            here, tag = m.end(), m[2].lower()
+            if tag == "svg":
+                depth += -1 if m[1] else not m[0].endswith("/>")
+                if not depth:
+                    return here
+            elif tag == "foreignobject":
+                if not m[1] and (close := _FOREIGN_END.search(self.source, here)):
+                    here = close.end()
+            else:
+                return m.start()
+        self.never.add("svg")
+        return at
 
 
 class Node:
@@ -70,6 +137,8 @@ def _attribute_words(attributes: str) -> tuple[int, int, bool]:
 def parse(source: str) -> Node:
     root = node = Node("", None)
     inline: list[str] = []  # open inline elements of the current block
+    hidden = Hidden(source)
+    opened: Counter[str] = Counter()  # open blocks
     link = 0
     at = 0
     while at < len(source):
@@ -81,7 +150,7 @@ def parse(source: str) -> Node:
                 node.links += len(text)
         if not m:
             break
-        at = m.end()
+        start, at = m.start(), m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
@@ -91,20 +160,20 @@ def parse(source: str) -> Node:
                     inline.remove(tag)
                     link -= tag == "a"
                 continue
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node, inline, link = up.parent, [], 0
+            if opened[tag]:
+                while node.tag != tag:
+                    opened[node.tag] -= 1
+                    node = node.parent
+                opened[tag] -= 1
+                node, inline, link = node.parent, [], 0
             continue
-        if tag in _RAW_END:
-            if not m[3].endswith("/") or tag != "svg":
-                end = _RAW_END[tag].search(source, at)
-                if tag == "head":
-                    continue
-                at = end.end() if end else len(source)
+        if tag in HIDING:
+            if not (m[3].endswith("/") and tag == "svg"):
+                at = hidden.end(tag, start, at)
             node.parts.append("\n")
             continue
+        if tag == "head":
+            continue
         node.tags += 1
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -117,10 +186,12 @@ def parse(source: str) -> Node:
         if tag in P_ENDS or tag in ("li", "tr", "td", "th", "dd", "dt"):
             closes = {"li": ("li", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p")}.get(tag, ("p",))
             while node.tag in closes:
+                opened[node.tag] -= 1
                 node = node.parent
         good, bad, main = _attribute_words(m[3]) if len(m[3]) < 400 else _attribute_words.__wrapped__(m[3])
         node = Node(tag, node, good, bad)
         node.main = main or None
+        opened[tag] += 1
         inline, link = [], 0
     return root
 
@@ -407,8 +478,12 @@ def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url
     """The keep columns with text (empty if none) and n_chars (its code points), one row per input row.
 
     A null or empty page has an empty text; so has one in which no block is kept. Text outside any element counts as a
-    block of its own. Character references are decoded once. Whole pages are read, whatever their length.
+    block of its own. Character references are decoded once. Whole pages are read, whatever their length. Malformed
+    markup loses no article: an unclosed comment or quote ends with its tag, unclosed scripts and the like end where
+    Hidden says. Repeated rows give repeated rows; other columns are ignored, a keep column may have any name.
     """
-    pages = pages.select(*keep, F.col(html_col).cast("string").alias("_html"))
-    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["text string", "n_chars long"])
-    return pages.mapInArrow(_run(trees or trained(), [*keep, "text", "n_chars"], len(keep)), schema)
+    ship(pages.sparkSession)
+    pages = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(html_col).cast("string").alias("_html"))
+    names = [*(f"k{i}" for i in range(len(keep))), "text", "n_chars"]
+    schema = ", ".join([f"{n} {pages.schema[n].dataType.simpleString()}" for n in names[:-2]] + ["text string", "n_chars long"])
+    return pages.mapInArrow(_run(trees or trained(), names, len(keep)), schema).toDF(*keep, "text", "n_chars")
