@@ -6,8 +6,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.llm import brute
-from veilspark.llm import decontaminate
+from veilspark.llm import decontaminate, hilbert
+from veilspark.llm._spark import mid_ranks, spread_join
 
 
 def leak_rows(rng):
@@ -49,3 +52,57 @@ def test_a_window_in_many_items_is_looked_up_once():
     assert len(items.hash) == 1 and len(items.rows) == 5000
     of, item = items.names(np.zeros(3000, np.int64), np.zeros(3000, np.int64), 2)
     assert of.tolist() == [0, 5000, 5000] and item.tolist() == list(range(5000))
+
+
+def test_mid_ranks_spread_few_values(spark):
+    edges = [1.0] * 100 + [2.0] * 50 + [7.0] * 105
+    df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.0, 5.0, 7.0, 9.0)], "v double")
+    assert [r[0] for r in df.select(mid_ranks(F.col("v"), edges)).collect()] == [0, 50, 100, 125, 150, 202, 255]
+    assert [r[0] for r in df.select(mid_ranks(F.col("v"), [])).collect()] == [0] * 7
+
+
+def test_spread_join_is_a_left_join(spark, monkeypatch):
+    rng = random.Random(71)
+    rows = [(i, rng.choice(["hot"] * 6 + ["a", "b", None, "none"])) for i in range(4000)]
+    counts = Counter(k for _, k in rows if k != "none")
+    table = spark.createDataFrame([(k, n, n * 2) for k, n in counts.items()], "k string, n long, x long")
+    got = spread_join(spark.createDataFrame(rows, "i long, k string"), table, ["k"], "n", len(rows)).collect()
+    assert counts["hot"] > 1000 and Counter((r.i, r.k, r.x) for r in got) == Counter((i, k, counts[k] * 2 if k != "none" else None) for i, k in rows)
+
+
+def layout(rows, shards, key):
+    """Mean number of distinct values a shard where rows are cut in the order given."""
+    return np.mean([len({key(r) for r in rows[s * len(rows) // shards : (s + 1) * len(rows) // shards]}) for s in range(shards)])
+
+
+def test_shards_prune_every_dimension(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r.asDict() for r in docs.select("doc_id", "lang", "source", F.octet_length("text").alias("bytes")).collect()]
+    place = {r.doc_id: (r.shard, r.slot) for r in hilbert.shard_documents(docs, range_rows=300).collect()}
+    assert len(place) == len(rows)
+    along = sorted(rows, key=lambda r: place[r["doc_id"]])
+    shuffled = random.Random(3).sample(rows, len(rows))
+    by_size = sorted(rows, key=lambda r: r["bytes"])
+    for dim, share in (("lang", 0.75), ("source", 0.75)):
+        at = lambda order: layout(order, 40, lambda r: r[dim])  # noqa: B023, E731
+        assert at(along) < share * min(at(shuffled), at(by_size)), (dim, at(along), at(shuffled), at(by_size))
+    spans = lambda order: np.mean([np.ptp([r["bytes"] for r in order[s * len(order) // 40 : (s + 1) * len(order) // 40]]) for s in range(40)])
+    assert spans(along) < spans(shuffled)
+
+
+def test_equal_texts_stay_in_one_shard(spark):
+    rng = random.Random(72)
+    rows = [(i, " ".join(brute.words(rng, rng.randrange(5, 50)))) for i in range(700)]
+    for k in range(60):
+        copy = " ".join(brute.words(rng, rng.randrange(5, 50)))
+        rows += [(1000 + 40 * k + j, copy) for j in range(rng.randrange(2, 12))]
+    rows += [(9000 + j, "a group larger than a shard") for j in range(90)] + [(None, rows[700][1]), (None, None), (9500, "")]
+    rng.shuffle(rows)
+    got = hilbert.shard_documents(brute.docs(spark, rows), range_rows=200).collect()
+    shards, sizes = {}, Counter(r.shard for r in got)
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+    for r in got:
+        shards.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    cut = [k for k, s in shards.items() if len(s) > 1]
+    assert len(cut) == 1 and cut[0][1] == len("a group larger than a shard") + 16

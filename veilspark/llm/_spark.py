@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from veilspark.shipping import ship
 SMALL_EDGES = 1_000_000
 #: Rows of 16 bytes or fewer that may be broadcast after they were counted.
 BROADCAST_ROWS = 1_000_000
+#: A key of more than this share of all rows is hot; there are at most as many hot keys as the share goes into one.
+HOT_SHARE = 1e-5
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -113,8 +117,40 @@ def bitmap(places: DataFrame, column: str, log_bits: int) -> bytes:
     return bytes(out)
 
 
+def mid_ranks(column: Column, edges: list) -> Column:
+    """How many of the sorted edges lie below the column's value (not null), and half of those equal to it.
+
+    So a value that many edges fall on lies in the middle of them, and few distinct values still spread over the range.
+    """
+    values = sorted(set(edges))
+    if not values:
+        return F.lit(0)
+    low = [bisect_left(edges, v) for v in values]
+    middle = [(a + bisect_right(edges, v)) // 2 for v, a in zip(values, low, strict=True)]
+    kind = "double" if isinstance(values[0], float) else "bigint"
+    table = lambda xs, kind: F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")
+    below = lambda i: F.get(table([*low, len(edges)], "int"), i)
+    found = lambda i: F.when(F.get(table(values, kind), i) == column, F.get(table(middle, "int"), i)).otherwise(below(i))
+    return F.get(F.transform(F.array(edges_below(column, values)), found), F.lit(0))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows left joined with a table that has one row a key, weight telling how many of the total rows have the key.
+
+    No task gets all rows of a hot key: keys of more than HOT_SHARE of the rows are at most 1 / HOT_SHARE, and are
+    broadcast; the others meet by shuffle, where the rows of one key are bounded by that share. Null keys match null.
+    """
+    many = max(1000, int(total * HOT_SHARE))
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    table = table.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(table[n]) for k, n in names.items()])
+    hot = F.broadcast(table.filter(F.col(weight) > many))
+    cold = rows.join(hot, same, "left_anti").join(table.filter(F.col(weight) <= many), same, "left")
+    return rows.join(hot, same).unionByName(cold).drop(*names.values())
+
+
 def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bitmap", "bounded", "components", "edges_below", "packed", "shared_dir", "ship", "written"]
+__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bitmap", "bounded", "components", "edges_below", "mid_ranks", "packed", "shared_dir", "ship", "spread_join", "written"]
