@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from veilspark.llm import decontaminate, hilbert
+from veilspark.llm import decontaminate, hilbert, ngram_join
 from veilspark.llm._spark import mid_ranks, spread_join
 
 
@@ -106,3 +106,57 @@ def test_equal_texts_stay_in_one_shard(spark):
         shards.setdefault((r.text_crc32, r.size), set()).add(r.shard)
     cut = [k for k, s in shards.items() if len(s) > 1]
     assert len(cut) == 1 and cut[0][1] == len("a group larger than a shard") + 16
+
+
+def linked(rows):
+    """Sorted rows of the join's contract with the number of links, by brute force."""
+    sets = [brute.shingles(t) for _, t in rows]
+    links = [sum(1 for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= 80 * len(a | b)) for i, a in enumerate(sets)]
+    return sorted(((*r, n) for r, n in zip(brute.joined(rows), links)), key=str)
+
+
+def test_sets_held_together_by_a_chain_are_verified_entry_by_entry(spark, monkeypatch):
+    """Neighbours share three of four parts, so chance entries join them all, but only true near copies link."""
+    rng = random.Random(81)
+    parts = [brute.words(rng, 15, 90_000) for _ in range(164)]
+    rows = [(i, " ".join(w for p in parts[i : i + 4] for w in p)) for i in range(160)]
+    for k in range(12):
+        copy = rows[10 * k][1].split()
+        copy[rng.randrange(60)] = f"z{k}"
+        rows += [(500 + k, " ".join(copy)), (600 + k, " ".join(copy))]
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    seen, candidates = [], ngram_join._candidates
+
+    def kept(*a):
+        out = candidates(*a)
+        seen.append(out.groupBy("by_entry").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("set_id").alias("sets"), F.sum("blocks").alias("moved")).collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_candidates", kept)
+    got = ngram_join.ngram_jaccard_join(brute.docs(spark, rows), frequent=4, count_links=True).collect()
+    assert sorted(map(tuple, got), key=str) == linked(rows)
+    (found,) = seen
+    assert [r.by_entry for r in found] == [True] and found[0].sets > 100 and found[0].moved < found[0].sets * -(-found[0].sets // 16)
+
+
+def test_dealing_in_two_levels_keeps_every_link(spark, monkeypatch):
+    rng = random.Random(82)
+    rows = [r for r in brute.awkward(rng) if len(r[1] or "") < 10_000]
+    monkeypatch.setattr(ngram_join, "COUNT_ENTRIES", 150)
+    got = ngram_join.ngram_jaccard_join(brute.docs(spark, rows), wide=4, count_links=True).collect()
+    assert sorted(map(tuple, got), key=str) == linked(rows)
+    texts = brute.docs(spark, rows).select("text")
+    one, two = ({r.set_id: r.alone for r in ngram_join.alone_counts(texts, 5, 30, wide).collect()} for wide in (100, 4))
+    assert one == two and len(one) > 10
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(83)
+    base = brute.words(rng, 60, 9000)
+    near = [*base[:-1], "other"]
+    a, b, c = " ".join(base), " ".join(near), " ".join(brute.words(rng, 60, 9000))
+    rows = [(1, a), (5, b), (5, c), (5, c), (None, a), (None, c), (None, "alone and without an id at all"), (7, None), (7, None), (7, "")]
+    docs = brute.docs(spark, rows).withColumn("_kept", F.lit(1)).withColumn("row_id", F.lit(2)).withColumn("first_hash", F.lit("x"))
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(1, a): 1, (5, c): 1, (None, "alone and without an id at all"): 1, (7, None): 1, (7, ""): 1})

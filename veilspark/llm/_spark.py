@@ -36,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast only if the counted rows stay below the limit; otherwise the planner shuffles."""
     return F.broadcast(df) if rows <= limit else df
@@ -153,4 +161,4 @@ def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bitmap", "bounded", "components", "edges_below", "mid_ranks", "packed", "shared_dir", "ship", "spread_join", "written"]
+__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bitmap", "bounded", "components", "edges_below", "mid_ranks", "packed", "shared_dir", "ship", "spread_join", "unused", "written"]

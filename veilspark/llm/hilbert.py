@@ -38,7 +38,7 @@ def running(df: DataFrame, order: list[str], weight: Column, range_rows: int = R
     """df with before (the sum of weight over the rows that come earlier in the order), and the sum of all."""
     rows = written(df.withColumn("_weight", weight.cast("long")), "keys")  # the range bounds and the rows must come from one reading
     ranges = max(1, -(-rows.count() // range_rows))
-    dealt = written(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = written(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges") if ranges > 1 else rows.withColumn("_range", F.lit(0))
     sums = dealt.groupBy("_range").agg(F.sum("_weight").alias("n")).collect()  # a number for each range
     offsets, total = [], 0
     for r in sorted(sums, key=lambda r: r["_range"]):
