@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from veilspark.llm import decontaminate, hilbert, ngram_join
+from veilspark.llm import decontaminate, hilbert, ngram_join, substring_dedup
 from veilspark.llm._spark import mid_ranks, spread_join
 
 
@@ -160,3 +160,18 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(1, a): 1, (5, c): 1, (None, "alone and without an id at all"): 1, (7, None): 1, (7, ""): 1})
+
+
+@pytest.mark.parametrize("options", [{"max_cells": 0}, {"max_cells": 0, "bucket_bytes": 4000, "wide": 8}, {"bucket_bytes": 4000, "wide": 8}])
+def test_windows_dedup_is_exact_on_every_path(spark, options):
+    rows = brute.awkward(random.Random(91)) + [(None, "null id " * 30)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup_windows(brute.docs(spark, rows), **options).collect()}
+    assert got == brute.deduped(rows)
+
+
+def test_sketches_add_up_the_same_in_any_number_of_levels(spark, monkeypatch):
+    rng = random.Random(92)
+    texts = [" ".join(brute.words(rng, 300, 40)) for _ in range(60)]
+    docs = brute.docs(spark, list(enumerate(texts + texts[:20]))).select("text").repartition(40)
+    one, many = (substring_dedup.sketch_bits(docs, 20, 16, 20_000, flush=flush, fan=2) for flush in (10**6, 500))
+    assert one == many and 100 < sum(b.bit_count() for b in one)
