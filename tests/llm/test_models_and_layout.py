@@ -159,6 +159,7 @@ def test_quality_learns_statistics(spark):
     assert sum(held) / len(held) > 0.95
     assert {r.score for r in quality.score(found, quality.fit(found, labels.limit(0))).collect()} == {0.5}
     assert {r.score for r in quality.score(found, quality.fit(found, labels.filter("quality = 1"))).collect()} == {1.0}
+    assert 0 < min(r.score for r in got) and max(r.score for r in got) < 1 and len({r.score for r in got}) > 3
 
 
 def test_statistics_match_a_plain_count():

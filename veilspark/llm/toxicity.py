@@ -2,12 +2,16 @@
 
 Folding lower-cases, maps look-alike letters to Latin ones and digits to the letters they stand for; the symbols
 @ $ ! | count as letters between two letters. A pattern matches at the start of a word: whole words end in a mark and must end
-there, others are stems. A match inside an exception phrase does not count. A word counts once, with the greatest
-weight that matches it. The sum of weights S gives two measures, log(1 + S) and its density log(1 + 1000 S / length);
+there, others are stems. A paired stem counts only in a text that holds two different words of it: an inflected insult
+comes in several forms, while a chance word shares its stem with no other. A match inside an exception phrase does not
+count. A place in the text counts once, with the greatest weight that matches it. The sum of weights S gives two measures, log(1 + S) and its density log(1 + 1000 S / length);
 a logistic curve over them gives the score, so a long text needs more matches than a short one.
 
-Weights come from labelled rows, copies and most near copies counted once: stems of 3 to 12 letters and whole words, by how
-many toxic and clean texts hold them. A pattern needs LEAST toxic texts and log odds well above their error. Of stems that the same texts hold the longest stays; longer ones go where a stem of theirs weighs as much.
+Weights come from labelled rows, copies and most near copies counted once: stems of 3 to 12 letters, paired or not, and whole words, by how
+many toxic and clean texts hold them. A pattern needs LEAST toxic texts, log odds well above their error, and to be so
+one-sided that by chance not one of all patterns looked at would be (CHANCE, by Chernoff's bound): among millions of
+stems some few fall into toxic texts alone, and learning those would only repeat the labels' noise. Of stems that the same
+texts hold the longest stays; longer ones go where a stem of theirs weighs as much, paired stems first.
 The fixed words below are matched as well, with a default weight where the labels say nothing.
 """
 
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import _text as T
-from veilspark.llm._spark import written
+from veilspark.llm._spark import ship, written
 
 #: The built-in lexicon.
 WORDS = ("asshole", "bastard", "bitch", "clown", "cunt", "disgusting", "dumbass", "fucker", "idiot", "imbecile", "loser", "moron", "pathetic", "retard", "scum", "shithead", "stupid", "trash", "worthless", "wanker")
@@ -44,11 +48,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 DEFAULT_WEIGHT = 6.0
 #: Ends the pattern of a whole word.
 END = "\n"
+#: Begins the pattern of a paired stem.
+PAIR = "\t"
 #: Labelled rows of each class that the lexicon is fitted on: those of least hash.
 MOST_TOXIC, MOST_CLEAN = 8_000, 16_000
 SHORTEST, LONGEST = 3, 12
 #: Toxic texts that must hold a pattern, and log odds, less their error, that it must reach.
 LEAST, LEAST_WEIGHT = 4, 3.0
+#: Patterns expected by chance among all that are looked at.
+CHANCE = 0.05
 
 
 def fold(text: str) -> str:
@@ -69,37 +77,50 @@ class Matcher:
         import ahocorasick
 
         self.machine = ahocorasick.Automaton()
-        self.longest = 1
+        none = (None, None, None, False)  # weights of the whole word, the stem and the paired stem; is it an exception
         for pattern, weight in model.weights.items():
-            key = pattern.removesuffix(END)
-            old = self.machine.get(key, (len(key), None, None, False))
-            whole, stem = (weight, old[2]) if pattern.endswith(END) else (old[1], weight)
-            self.machine.add_word(key, (len(key), whole, stem, old[3]))
+            key = pattern.removesuffix(END).removeprefix(PAIR)
+            _, whole, stem, pair, exception = self.machine.get(key, (0, *none))
+            if pattern.endswith(END):
+                whole = weight
+            elif pattern.startswith(PAIR):
+                pair = weight
+            else:
+                stem = weight
+            self.machine.add_word(key, (len(key), whole, stem, pair, exception))
         for phrase in model.exceptions:
             key = fold(phrase)
-            old = self.machine.get(key, (len(key), None, None, False))
-            self.machine.add_word(key, (*old[:3], True))
+            self.machine.add_word(key, (len(key), *self.machine.get(key, (0, *none))[1:4], True))
         self.empty = not len(self.machine)
         if not self.empty:
             self.machine.make_automaton()
 
     def total(self, text: str) -> float:
-        """Sum of the weights of the matched words of a folded text."""
+        """Sum of the weights of the matched places of a folded text, and of the words of paired stems that have two."""
         if self.empty:
             return 0.0
         found: dict[int, tuple[int, float]] = {}
+        paired: dict[str, list[tuple[int, int, float]]] = {}
         harmless: list[tuple[int, int]] = []
-        for last, (length, whole, stem, exception) in self.machine.iter(text):
+        for last, (length, whole, stem, pair, exception) in self.machine.iter(text):
             first = last - length + 1
             if first and text[first - 1].isalpha():
                 continue
             ends = last + 1 == len(text) or not text[last + 1].isalpha()
             if exception and ends:
                 harmless.append((first, last))
+            if pair is not None:
+                paired.setdefault(text[first : last + 1], []).append((first, last, pair))
             weight = max((w for w in (stem, whole if ends else None) if w is not None), default=None)
             if weight is not None and (first not in found or found[first][1] < weight):
                 found[first] = (last, weight)
-        return sum(w for a, (b, w) in found.items() if not any(x <= a and b <= y for x, y in harmless))
+        safe = lambda a, b: any(x <= a and b <= y for x, y in harmless)
+        out = sum(w for a, (b, w) in found.items() if not safe(a, b))
+        for places in paired.values():
+            words = {_WORD.match(text, a)[0] for a, b, _ in places if not safe(a, b)} if len(places) > 1 else ()
+            if len(words) > 1:
+                out += places[0][2] * len(words)
+        return out
 
 
 def measures(total: float, length: int) -> tuple[float, float]:
@@ -107,11 +128,13 @@ def measures(total: float, length: int) -> tuple[float, float]:
 
 
 def patterns(text: str) -> set[str]:
-    out = set()
+    out, stems = set(), Counter()
     for word in set(_WORD.findall(fold(text))):
         if len(word) <= 40:
             out.add(word + END)
-            out.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
+            stems.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
+    out.update(stems)
+    out.update(PAIR + s for s, n in stems.items() if n > 1)
     return out
 
 
@@ -140,24 +163,31 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.view(np.int64))], names=["text", "_y", "_g"])
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_weight: float = LEAST_WEIGHT) -> dict[str, float]:
-    """Weights (log odds of holding the pattern) of the patterns worth matching."""
+def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_weight: float = LEAST_WEIGHT, tests: int | None = None) -> dict[str, float]:
+    """Weights (log odds of holding the pattern) of the patterns worth matching; tests is how many were looked at in all."""
     weight = {p: float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((clean.get(p, 0) + 0.5) / (n_clean + 1))) for p, t in toxic.items()}
     error = {p: float(np.sqrt(1 / (t + 0.5) + 1 / (clean.get(p, 0) + 0.5))) for p, t in toxic.items()}
+    proof = np.log((tests or len(toxic)) / CHANCE) if toxic else 0.0
     longer = Counter()
     for p, t in toxic.items():
         shorter = p[:-1]
         longer[shorter] = max(longer[shorter], t)
     kept: dict[str, float] = {}
-    for p in sorted(toxic, key=lambda p: (len(p), p)):
-        if weight[p] - error[p] < least_weight or longer[p] >= 0.9 * toxic[p]:
+    for p in sorted(toxic, key=lambda p: (not p.startswith(PAIR), len(p), p)):
+        if weight[p] - error[p] < least_weight or longer[p] >= 0.9 * toxic[p] or evidence(toxic[p], clean.get(p, 0), n_toxic, n_clean) < proof:
             continue
-        if any(kept.get(p[:k], -1.0) >= weight[p] - 0.7 for k in range(SHORTEST, len(p))):
+        if any(max(kept.get(p[:k], -1.0), kept.get(PAIR + p[:k], -1.0)) >= weight[p] - 0.7 for k in range(SHORTEST, len(p))):
             continue
         kept[p] = weight[p]
     return kept
 
 
+def evidence(t: int, c: int, n_toxic: int, n_clean: int) -> float:
+    """Minus the logarithm of a bound on the chance that t or more of t + c texts are toxic if the pattern says nothing."""
+    n, share = t + c, n_toxic / (n_toxic + n_clean)
+    return 0.0 if t <= n * share else float(t * np.log(t / (n * share)) + (c * np.log(c / (n * (1 - share))) if c else 0.0))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     x = np.column_stack([np.ones(len(x)), x])
     b = np.zeros(3)
@@ -173,10 +203,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     """Fit weights and curve on the given labelled rows; the bounds name how many of each class are used.
 
-    Rows with a null id, a null label or no document teach nothing. Without a toxic and a clean row the built-in
-    lexicon and curve are returned.
+    Rows with a null id, a null label or no document teach nothing; where labels of one id disagree, toxic counts.
+    Rows that share an id all teach. Without a toxic and a clean row the built-in lexicon and curve are returned.
     """
-    labels = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().dropDuplicates(["_id"])
+    ship(docs.sparkSession)
+    labels = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     sample = None
     for y, most in ((1, most_toxic), (0, most_clean)):
         part = labels.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
@@ -194,12 +225,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     both = counts.join(clean, "pattern", "left").select("pattern", "t", F.coalesce("c", F.lit(0)).alias("c"))
     weight = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    both = written(both.withColumn("fits", weight - error >= LEAST_WEIGHT - 1e-9), "counted")
+    tests, share, held = counts.count(), n[1] / (n[0] + n[1]), F.col("t") + F.col("c")
+    proof = F.col("t") * F.log(F.col("t") / (held * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (held * (1 - share)))).otherwise(0.0)
+    both = written(both.withColumn("fits", (weight - error >= LEAST_WEIGHT - 1e-9) & (proof >= float(np.log(max(tests, 1) / CHANCE)) - 1e-9)), "counted")
     # choose() also asks how many texts hold a pattern's longest extension; only one that fits itself needs it
     longest = both.groupBy(F.expr("left(pattern, length(pattern) - 1)").alias("of")).agg(F.max("t").alias("longer"))
     found = both.filter("fits").join(longest, F.col("pattern") == F.col("of"), "left").filter("longer is null or longer < 0.9D * t").select("pattern", "t", "c").collect()
     toxic, clean = {r.pattern: r.t for r in found}, {r.pattern: r.c for r in found}
-    model.weights |= choose(toxic, clean, n[1], n[0])
+    model.weights |= choose(toxic, clean, n[1], n[0], tests=tests)
     points = rows.select("text", "_y").mapInArrow(_measure(model), "y int, a double, b double").collect()  # three numbers a sampled row
     model.curve = _logistic(np.array([(p.a, p.b) for p in points]), np.array([p.y for p in points], float))
     return model
@@ -228,7 +261,9 @@ def _score(model: Model, names: list[str]):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, weight (sum of matched weights) and score (0 to 1). Null texts count as empty."""
+    """One row per input row: id, weight (sum of matched weights) and score (0 to 1). Null texts count as empty; other
+    columns are ignored."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     return docs.mapInArrow(_score(model, [id_col, "weight", "score"]), f"`{id_col}` {docs.schema[0].dataType.simpleString()}, weight double, score double")
 
@@ -239,7 +274,9 @@ def fold_of(id_col: Column, folds: int) -> Column:
 
 
 def reject_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose text scores below the threshold; columns as given, repeated rows and null ids kept."""
+    """The rows of docs whose text scores below the threshold; columns as given, whatever their names. Each row is judged
+    by its text alone, so repeated rows and null ids stay or go with it; null and empty texts stay."""
+    ship(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
