@@ -148,7 +148,7 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
     No task gets all rows of a hot key: keys of more than HOT_SHARE of the rows are at most 1 / HOT_SHARE, and are
     broadcast; the others meet by shuffle, where the rows of one key are bounded by that share. Null keys match null.
     """
-    many = max(1000, int(total * HOT_SHARE))
+    many = max(100, int(total * HOT_SHARE))
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}
     table = table.withColumnsRenamed(names)
     same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(table[n]) for k, n in names.items()])

@@ -16,9 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veilspark.llm.url_filter import judge_urls
+    from veilspark.llm.url_filter import Model, corpus_words, judge_urls
 
-    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, model=Model(corpus=corpus_words(pages, "html", markup=True))).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
