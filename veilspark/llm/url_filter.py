@@ -78,7 +78,7 @@ class Model:
         self.names, self.prior_share, self.corpus = (unwanted, ordinary), prior, corpus or {}
         named = [Counter(w for name in names for w in name.split()) for names in (unwanted, ordinary)]
         counts = [n + Counter(more or {}) for n, more in zip(named, (bad, good), strict=True)]
-        words = named[0] + named[1] + Counter({w: 1 for w in NEUTRAL})
+        words = counts[0] + counts[1] + Counter({w: 1 for w in NEUTRAL})
         parts = [(c, sum(c.values())) for c in (words, self.corpus) if c]
         share = lambda w: sum(c.get(w, 0) / total for c, total in parts) / len(parts)
         self.cost = {w: -log(share(w)) for c, _ in parts for w in c}
