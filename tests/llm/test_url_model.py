@@ -39,11 +39,11 @@ def test_corpus_words_help_to_cut(spark):
 
 
 def test_judged_urls_teach(spark):
-    rows = [(f"http://zorbland{k}.com/flum/{i}", 1) for k in range(6) for i in range(50)] + [(f"https://quiet-{k}.org/park/", 0) for k in range(6)] + [(None, 1), ("no url", 1), ("http://x.y/", None)]
+    rows = [(f"http://zorqix{k}.com/flum/{i}", 1) for k in range(6) for i in range(50)] + [(f"https://quiet-{k}.org/park/", 0) for k in range(6)] + [(None, 1), ("no url", 1), ("http://x.y/", None)]
     urls = brute.table(spark, [(*r, "a", "b") for r in rows], "url string, unwanted int, host string, path string")
     before = Model()
     after = learn(urls, before)
-    assert before.score("zorbland.net", "/flum") < 0 < after.score("zorbland.net", "/flum") and after.score("quiet.net", "/park") < before.score("quiet.net", "/park")
-    assert after.odds["zorbland"] == learn(urls.filter("url not like '%/flum/7%'"), before).odds["zorbland"]  # hosts count once
-    pages = brute.table(spark, [(1, "http://zorbland.info/flum")], "page_id long, url string")
+    assert before.score("zorqix.net", "/flum") < 0 < after.score("zorqix.net", "/flum") and after.score("quiet.net", "/park") < before.score("quiet.net", "/park")
+    assert after.odds["zorqix"] == learn(urls.filter("url not like '%/flum/7%'"), before).odds["zorqix"]  # hosts count once
+    pages = brute.table(spark, [(1, "http://zorqix.info/flum")], "page_id long, url string")
     assert [r.verdict for r in judge_urls(pages, model=after).collect()] == ["block"]
