@@ -255,16 +255,6 @@ def test_kept_tokens_meet_the_margins_of_skewed_groups(spark):
     assert abs(kept / whole - min(reach)) < 1e-5  # the group that gains most is kept whole
 
 
-def test_topics_count_whole_classes_in_code_points(spark):
-    texts = {
-        "loud": ["SHOUTED WORDS " * 20, "ABC" + "d" * 9 + ("ЖA" * 3 + "жж") * 40], "marked": ["a#$ &* " * 40, "é&*" * 100], "listed": ["слово слово слово\n" * 20, "a line of words\n" * 20],
-        "prose": ["plain words, no more! " * 20, "a!! b " * 50, "Ж" * 300], "brief": ["SHORT #$", "ж" * 199], "empty": ["", None],
-    }
-    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
-    got = brute.table(spark, rows, "doc_id long, text string, want string").select("text", "want", mixing.topic_of(F.col("text")).alias("topic")).collect()
-    assert [(r.text, r.topic) for r in got] == [(r.text, r.want) for r in got]
-
-
 def test_toxicity_learns_insults_rarer_than_a_hundredth(spark):
     rng = random.Random(15)
     rare = [f"{a}zq{b}" for a in "bdfgk" for b in ("orp", "ilm", "ent", "ask")]  # each in 25 of 4000 toxic texts

@@ -29,6 +29,26 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+def test_stages_take_awkward_tables(spark, tmp_path):
+    """Clashing columns, null and repeated ids, null sources, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(i, t, None if i and i % 3 == 0 else "s", None if i and i % 5 == 0 else "en", 1) for i, t in brute.awkward(rng) if len(t or "") < 5000] + [(None, None, None, None, None), (None, "no id but words " * 9, "s", "en", 1), (4, "one", "s", "en", 1)]
+    documents = brute.table(spark, rows, "doc_id long, text string, source string, lang string, n_chars long")
+    for name in ("_tokens", "_kept", "_m0", "_id", "_key_0", "row_hash", "first_id", "_dim0", "_group0", "curve", "rank", "shard", "k", "h", "_y", "_text"):
+        documents = documents.withColumn(name, documents.doc_id)
+    brute.table(spark, [(1, " ".join(brute.words(rng, 30, 9000))), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    brute.table(spark, [(4, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (documents, documents.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            out.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_every_operator_has_one_query():
     from veilspark.llm.queries import ORACLE_SQL, QUERIES
 

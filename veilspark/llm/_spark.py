@@ -28,10 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is removed when the application ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/veilspark-{context.applicationId}"
+    if getattr(context, "_veilspark_run_dir", None) != path:
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        context._veilspark_run_dir = path
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, so a lost executor costs no earlier stage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilspark-{uuid.uuid4().hex}/{name}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -161,4 +178,4 @@ def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bitmap", "bounded", "components", "edges_below", "mid_ranks", "packed", "shared_dir", "ship", "spread_join", "unused", "written"]
+__all__ = ["BROADCAST_ROWS", "SMALL_EDGES", "bitmap", "bounded", "components", "edges_below", "mid_ranks", "packed", "removed", "run_dir", "shared_dir", "ship", "spread_join", "unused", "written"]

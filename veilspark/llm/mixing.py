@@ -6,8 +6,10 @@ tokens, at most the one asked for, at which the kept tokens meet the margins too
 a group that should gain can't keep more than all it has, so the others are thinned until the shares are right. A
 document stays if a hash of its id falls below its cell's probability.
 
-The cell table is what the raking works on, not the documents. Up to MOST_CELLS cells it is raked in one place; above,
-each step is a grouped sum joined back, written after each sweep.
+The cell table is what the raking works on, not the documents. Up to MOST_CELLS cells and KEY_BYTES of keys, as counted,
+it is raked in one place; above, targets and shares stay distributed too, each step is a grouped sum joined back, and
+the driver gets a few totals a step. The cells' probabilities are broadcast under the same kind of bound, or meet the documents by
+a join in which no task gets all rows of a large cell.
 """
 
 from __future__ import annotations
@@ -20,25 +22,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm._spark import BROADCAST_ROWS, bounded, written
+from veilspark.llm import topics
+from veilspark.llm._spark import BROADCAST_ROWS, ship, spread_join, unused, written
 
 #: Cells that may be raked in the driver: text keys and a number each.
 MOST_CELLS = 100_000
+#: Bytes of cells' keys that may be collected or broadcast.
+KEY_BYTES = 32 << 20
 SWEEPS, CLOSE = 50, 1e-9
 #: Raking under the bound: sweeps, the error of a share that counts as met, and how often a budget out of reach is halved towards one within.
 CAPPED_SWEEPS, NEAR, HALVINGS = 100, 1e-6, 6
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse kind of text by the share of its code points in classes: empty, brief, loud, marked, listed or prose."""
-    n = F.length(text)
-    count = lambda chars: n - F.length(F.translate(text, chars, ""))  # noqa: E731  deletes the whole class in one pass
-    return (
-        F.when(text.isNull() | (n == 0), "empty").when(n < 200, "brief").when(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 5 > n, "loud")
-        .when(count("#$%&*|") * 5 > n, "marked").when(count("\n") * 60 > n, "listed").otherwise("prose")
-    )
-
-
 def tokens_of(text: Column) -> Column:
     """White-space words; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\x0b\\f\\r]+")), F.lit(0)).cast("long")
@@ -136,21 +131,31 @@ def within(start: float, most: float, safe: float, attempt: Callable[[float], tu
     return fallback() if best is None else best
 
 
-def _rake_wide(cells: DataFrame, margins: list[str], targets: list[dict], sweeps: int) -> DataFrame:
-    """The same by grouped sums, for cell tables of any size."""
-    spark = cells.sparkSession
+def _wanted(cells: DataFrame, margin: str, target: dict | None, power: float) -> DataFrame:
+    """For each key with tokens: _m, own (its tokens) and want (its share of the target, which add up to 1)."""
+    own = cells.filter("tokens > 0").groupBy(F.col(margin).alias("_m")).agg(F.sum("tokens").alias("own"))
+    if target is None:
+        raw = own.withColumn("raw", F.pow(F.col("own").cast("double"), power))
+    else:
+        given = cells.sparkSession.createDataFrame([(None if k is None else str(k), float(v)) for k, v in target.items()], "_k string, raw double")
+        raw = own.join(given, F.col("_m").eqNullSafe(F.col("_k")), "left").select("_m", "own", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    raw = written(raw, "raw")
+    total, keys = raw.agg(F.sum("raw"), F.count(F.lit(1))).first()
+    return written(raw.select("_m", "own", (F.col("raw") / total if total else F.lit(1.0) / max(keys, 1)).alias("want")), "wants")
+
+
+def _rake_wide(cells: DataFrame, margins: list[str], wants: list[DataFrame], sweeps: int) -> DataFrame:
+    """rake() by grouped sums, for cell tables of any size; wants have key and want."""
     cells = cells.withColumn("factor", F.lit(1.0))
     for _ in range(sweeps):
         off = []
-        for m, target in zip(margins, targets, strict=True):
-            want = spark.createDataFrame(list(target.items()), f"_k {cells.schema[m].dataType.simpleString()}, want double")
-            mass = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("mass")).filter("mass > 0")
-            known = mass.join(want, F.col(m).eqNullSafe(F.col("_k")), "left").select(F.col(m).alias("_m"), "mass", F.coalesce("want", F.lit(0.0)).alias("want"))
-            total, wanted, groups = known.agg(F.sum("mass"), F.sum("want"), F.count(F.lit(1))).first()
+        for m, want in zip(margins, wants, strict=True):
+            mass = cells.groupBy(F.col(m).alias("_k")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("mass")).filter("mass > 0")
+            known = written(mass.join(want, F.col("_k").eqNullSafe(F.col("_m"))).select("_m", "mass", "want"), "mass")
+            total = known.agg(F.sum("mass")).first()[0]
             if not total:
                 return cells
-            share = F.col("want") / F.lit(wanted) if wanted else F.lit(1 / groups)
-            ratio = written(known.select("_m", (share * F.lit(total) / F.col("mass")).alias("ratio")), "ratio")
+            ratio = written(known.select("_m", (F.col("want") * total / F.col("mass")).alias("ratio")), "ratio")
             off.append(ratio.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0])
             cells = cells.join(ratio, F.col(m).eqNullSafe(F.col("_m")), "left").withColumn("factor", F.col("factor") * F.coalesce("ratio", F.lit(1.0))).drop("_m", "ratio")
         cells = written(cells, "cells")
@@ -180,25 +185,25 @@ def _capped_wide(cells: DataFrame, margins: list[str], wants: list[DataFrame], b
 
 
 def mix(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: dict[str, dict] | None = None, *, keep: float = 0.9, power: float = 0.7, id_col: str = "doc_id", seed: int = 10, most_cells: int = MOST_CELLS) -> DataFrame:
-    """docs with _tokens, _weight (the cell's raked factor), _probability and _kept for each row.
+    """docs with _tokens, the margins' keys (_ and their name), _weight (the cell's raked factor), _probability and _kept.
 
     margins name expressions over docs; a null key is a group of its own. targets give shares by margin and key; a
     margin without is tempered (shares to the power, scaled). keep is the most that is expected to stay of all tokens;
-    less does where the margins can't be met otherwise. Rows of a cell without tokens weigh 1 and stay with probability keep. The draw hashes the id (a null id like any value), so
-    repeated rows share their fate. An empty table gives an empty table.
+    less does where the margins can't be met otherwise. Rows of a cell without tokens weigh 1 and stay with probability
+    keep. The draw hashes the id (a null id like any value), so repeated rows share their fate. An empty table gives an
+    empty table. Where docs has a column of such a name already, the added one has another underscore before it (added()).
     """
-    names = [f"_m{i}" for i in range(len(margins))]
-    marked = docs.select("*", tokens.cast("long").alias("_tokens"), *[m.cast("string").alias(n) for m, n in zip(margins.values(), names, strict=True)])
-    cells = written(marked.groupBy(*names).agg(F.sum("_tokens").alias("tokens")), "cells")
-    goals = []
-    for m, n in zip(margins, names, strict=True):
-        if targets and m in targets:
-            goals.append(targets[m])
-        else:
-            goals.append(None)
-    count, spark = cells.count(), cells.sparkSession
-    if count <= most_cells:
-        rows = cells.collect()  # most_cells at the most, as just counted
+    ship(docs.sparkSession)
+    names = [unused(docs.columns, f"_m{i}") for i in range(len(margins))]
+    out = added(docs.columns, list(margins))
+    count = unused(docs.columns, "_count")
+    marked = docs.select("*", F.coalesce(tokens, F.lit(0)).cast("long").alias(out["tokens"]), *[m.cast("string").alias(n) for m, n in zip(margins.values(), names, strict=True)])
+    cells = written(marked.groupBy(*names).agg(F.sum(out["tokens"]).alias("tokens"), F.count(F.lit(1)).alias(count)), "cells")
+    goals = [(targets or {}).get(m) for m in margins]
+    number, size, rows_in_all = cells.agg(F.count(F.lit(1)), F.sum(sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in names), F.lit(24))), F.sum(count)).first()
+    spark, small = cells.sparkSession, (size or 0) <= KEY_BYTES
+    if number <= most_cells and small:
+        rows = cells.collect()  # most_cells rows and KEY_BYTES at the most, as just counted
         keys, mass = [tuple(r[n] for n in names) for r in rows], np.array([r.tokens for r in rows], float)
         goals = [g if g is not None else tempered({k: mass[[c[i] == k for c in keys]].sum() / max(mass.sum(), 1) for k in {c[i] for c in keys}}, power) for i, g in enumerate(goals)]
         codes = coded(keys, mass, goals)
@@ -208,37 +213,47 @@ def mix(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: di
         start, safe = keep * mass.sum(), weighed / largest if largest else 0.0
         chance = within(start, most_kept(mass * (factor > 0), codes), safe, lambda budget: capped(mass, even(budget), codes, budget), lambda: even(min(start, safe)))
         chance = np.where(mass > 0, chance, keep)
-        schema = ", ".join(f"`{n}` string" for n in names) + ", _weight double, _probability double"
-        table = spark.createDataFrame([(*k, float(f), float(p)) for k, f, p in zip(keys, factor, chance, strict=True)], schema)
+        schema = ", ".join(f"`{n}` string" for n in names) + f", `{count}` long, _weight double, _probability double"
+        table = spark.createDataFrame([(*k, r[count], float(f), float(p)) for k, r, f, p in zip(keys, rows, factor, chance, strict=True)], schema)
     else:
         total = cells.agg(F.sum("tokens")).first()[0]
-        for i, n in enumerate(names):
-            if goals[i] is None:
-                goals[i] = tempered(dict(cells.groupBy(n).agg((F.sum("tokens") / total)).collect()), power)  # one number a key
-        raked = _rake_wide(cells, names, goals, SWEEPS)
+        wants = [_wanted(cells, n, goal, power) for n, goal in zip(names, goals, strict=True)]
+        raked = _rake_wide(cells, names, wants, SWEEPS)
         alive = raked.filter("tokens > 0 and factor > 0")
         weighed, largest = alive.agg(F.sum(F.col("tokens") * F.col("factor")), F.max("factor")).first()
         even = lambda budget: raked.withColumn("chance", F.col("factor") * (budget / weighed if weighed else 0.0))
-        start, safe, most, wants = keep * (total or 0), weighed / largest if largest else 0.0, float("inf"), []
-        for n, goal in zip(names, goals, strict=True):
-            target = spark.createDataFrame(list(goal.items()), "_k string, want double")
-            own = raked.filter("tokens > 0").groupBy(F.col(n).alias("_m")).agg(F.sum(F.when(F.col("factor") > 0, F.col("tokens")).otherwise(0)).alias("own"))
-            own = written(own.join(target, F.col("_m").eqNullSafe(F.col("_k")), "left").select("_m", "own", F.coalesce("want", F.lit(0.0)).alias("want")), "wants")
-            wanted, groups = own.agg(F.sum("want"), F.count(F.lit(1))).first()
-            wants.append(own.select("_m", "own", (F.col("want") / wanted if wanted else F.lit(1.0) / max(groups, 1)).alias("want")))
-            most = min(most, wants[-1].filter("own > 0 and want > 0").agg(F.min(F.col("own") / F.col("want"))).first()[0] or most)
-        chances = within(start, most, safe, lambda budget: _capped_wide(even(budget), names, wants, budget), lambda: even(min(start, safe)))
-        table = chances.select(*names, F.col("factor").alias("_weight"), F.when(F.col("tokens") > 0, F.col("chance")).otherwise(keep).alias("_probability"))
-    same = reduce(lambda a, b: a & b, [marked[n].eqNullSafe(table[n]) for n in names])
-    draw = (F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("_draw")
-    return (
-        marked.join(bounded(table, count, BROADCAST_ROWS), same)
-        .select(*[marked[c] for c in docs.columns], marked["_tokens"], *[marked[n].alias(f"_{m}") for m, n in zip(margins, names, strict=True)], "_weight", "_probability", draw)
-        .withColumn("_kept", F.col("_draw") < F.col("_probability")).drop("_draw")
-    )
-
-
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """mix() over the source, lang and topic of documents, by tokens of text."""
-    text = F.col("text").cast("string")
-    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text)}, tokens_of(text), **options)
+        start, safe, most, reach = keep * (total or 0), weighed / largest if largest else 0.0, float("inf"), []
+        for n, want in zip(names, wants, strict=True):
+            own = raked.filter("tokens > 0").groupBy(F.col(n).alias("_k")).agg(F.sum(F.when(F.col("factor") > 0, F.col("tokens")).otherwise(0)).alias("own"))
+            reach.append(written(own.join(want.select("_m", "want"), F.col("_k").eqNullSafe(F.col("_m"))).select("_m", "own", "want"), "reach"))
+            most = min(most, reach[-1].filter("own > 0 and want > 0").agg(F.min(F.col("own") / F.col("want"))).first()[0] or most)
+        chances = within(start, most, safe, lambda budget: _capped_wide(even(budget), names, reach, budget), lambda: even(min(start, safe)))
+        table = chances.select(*names, count, F.col("factor").alias("_weight"), F.when(F.col("tokens") > 0, F.col("chance")).otherwise(keep).alias("_probability"))
+        table = written(table, "probabilities")
+    table = table.withColumnsRenamed({"_weight": out["weight"], "_probability": out["probability"]})
+    if number <= BROADCAST_ROWS and small:
+        same = reduce(lambda a, b: a & b, [marked[n].eqNullSafe(table[n]) for n in names])
+        joined = marked.join(F.broadcast(table), same).select(*[marked[c] for c in marked.columns], out["weight"], out["probability"])
+    else:
+        joined = spread_join(marked, table, names, count, rows_in_all)
+    draw = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    keys = [F.col(n).alias(out[m]) for m, n in zip(margins, names, strict=True)]
+    return joined.select(*[f"`{c}`" for c in docs.columns], out["tokens"], *keys, out["weight"], out["probability"], (draw < F.col(out["probability"])).alias(out["kept"]))
+
+
+def added(columns: list[str], margins: list[str]) -> dict[str, str]:
+    """The names of the columns that mix() adds to these."""
+    return {n: unused(columns, f"_{n}") for n in ("tokens", *margins, "weight", "probability", "kept")}
+
+
+def mix_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", model: topics.Topics | None = None, **options) -> DataFrame:
+    """mix() over the source, lang and fitted topic (see topics) of documents, by tokens of text. A text without words has the topic empty."""
+    model = model or topics.fit(docs, text_col, "lang", id_col)
+    text = F.col(text_col).cast("string")
+    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topics.topic_column(model, text, F.col("lang"))}, tokens_of(text), id_col=id_col, **options)
+
+
+def sample_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that mix_documents() keeps; columns as given, whatever their names."""
+    kept = added(docs.columns, ["source", "lang", "topic"])["kept"]
+    return mix_documents(docs, **options).filter(F.col(kept)).select(*[f"`{c}`" for c in docs.columns])
