@@ -58,6 +58,10 @@ class ExecutionFailed(EngineError):
     code = "VEIL_DATABASE_UNAVAILABLE"
 
 
+class UsageExceeded(EngineError):
+    code = "VEIL_USAGE_BUDGET_EXCEEDED"
+
+
 class ActivationError(ValueError):
     """A catalog or policy that can't be used; raised to its operator, never to a client."""
 

@@ -189,16 +189,13 @@ def json_each_values(doc: Column, steps: list[str | int]) -> Column:
     shown = F.when(F.is_variant_null(node), "null").otherwise(text)
     keys = F.json_object_keys(F.get_json_object(doc, _spark_path(steps)))
     scalar = lambda t: F.when(t == "true", "1").when(t == "false", "0").otherwise(F.coalesce(t, F.lit("null")))
-    of_object = F.transform(keys, lambda k: scalar(_member(node, k)))
+    members = F.try_variant_get(node, "$", "map<string,variant>")
+    of_object = F.transform(keys, lambda k: scalar(F.to_json(F.try_element_at(members, k))))
     length = F.json_array_length(text)
     of_array = F.when(length > 0, F.transform(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0))), lambda i: scalar(_element(node, i)))).otherwise(F.array().cast("array<string>"))
     return F.when(doc.isNull() | node.isNull() & ~F.coalesce(F.is_variant_null(node), F.lit(False)), F.array().cast("array<string>")).when(shown.startswith("{"), F.coalesce(of_object, F.array().cast("array<string>"))).when(shown.startswith("["), of_array).otherwise(F.array(scalar(shown)))
 
 
-def _member(node: Column, key: Column) -> Column:
-    return F.to_json(F.try_variant_get(node, F.concat(F.lit('$["'), key, F.lit('"]')), "variant"))
-
-
 def _element(node: Column, index: Column) -> Column:
     return F.to_json(F.try_variant_get(node, F.concat(F.lit("$["), index.cast("string"), F.lit("]")), "variant"))
 

@@ -59,6 +59,15 @@ class Build:
             for x in walk(e):
                 if isinstance(x, Col):
                     self.used.setdefault(x.scope, set()).add(x.info.name)
+        self.key: str | None = None
+        if q.collection:
+            # elements follow the first stored column that the role may read, the key as a rule
+            doc = q.collection[1]
+            resource = next(s for s in q.scopes if s.id == doc.scope).resource
+            names = {c.name.lower(): c.name for c in resource.columns if c.name in grants.by_scope[doc.scope].columns and c.name != doc.info.name}
+            self.key = next((names[c.lower()] for c in table(resource.source).columns if c.lower() in names), None)
+            if self.key:
+                self.used[doc.scope].add(self.key)
 
     # -- expressions --
 
@@ -264,8 +273,11 @@ class Build:
         return Built(df.select(*final), names, flags, self.scans, self.sources)
 
     def collect_json(self, df: DataFrame, names: list[str]) -> Built:
+        """One text of all elements, in one row: rows by key, equal or missing keys by document, elements in document order."""
         kind, doc, steps = self.q.collection
         values = (sqlite.json_each_values if kind == "json_each" else sqlite.json_tree_values)(F.col(_name(doc)), steps)
-        rows = df.select(values.alias("items")).filter(F.size("items") > 0)
-        whole = rows.agg(F.concat(F.lit("["), F.array_join(F.flatten(F.collect_list("items")), ","), F.lit("]")).alias("j"))
+        key = F.col(f"t{doc.scope}__{self.key}") if self.key else F.lit(None).cast("int")
+        rows = df.select(key.alias("key"), F.col(_name(doc)).alias("doc"), values.alias("items")).filter(F.size("items") > 0)
+        sorted_ = F.sort_array(F.collect_list(F.struct("key", "doc", "items")))
+        whole = rows.agg(F.concat(F.lit("["), F.array_join(F.flatten(F.transform(sorted_, lambda r: r["items"])), ","), F.lit("]")).alias("j"))
         return Built(whole.select(F.coalesce("j", F.lit("[]")).alias(names[0])), names, {}, self.scans, self.sources)

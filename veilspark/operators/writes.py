@@ -59,6 +59,9 @@ def apply(store: Store, snap: Snapshot, w: BoundWrite, policy: WritePolicy, sess
     table = w.scope.resource.source
     schema = store.schemas(snap)[table]
     presets = {k: value_of(o, session) for k, o in policy.presets.items()}
+    contracts = {c.name.lower(): c.contract for c in w.scope.resource.columns}
+    if any(v is not None and not contracts[k.lower()].accepts(v) for k, v in presets.items()):
+        raise reject(Kind.EXPECTATION_FAILED, "preset")
     if w.operation == "insert":
         return _insert(store, snap, w, policy, session, values, table, schema, presets, expected)
     current = store.read(snap, table)

@@ -6,14 +6,17 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilspark.catalog import manifest_of
 from veilspark.engine import Engine, Limits
+from veilspark.errors import Rejected
 from veilspark.sources.snapshots import Store, scratch_root
 from veilspark.types import Session
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "profiles")
 
+_PROFILE = {"type": "object", "properties": {"name": {"type": "string"}, "keys": {"type": "array", "items": {"type": "integer"}}, "rich": {"type": "boolean"}, "balance": {"type": "number"}, "at": {"type": "object", "properties": {"nation": {"type": "integer"}}}}}
 _JSON = {"props": {"type": "json", "jsonSchema": {"type": "object", "additionalProperties": False, "properties": {"k": {"type": "integer"}}}}}
 _ALL = {"n_nationkey": {"is_null": False}}
 
@@ -57,15 +60,19 @@ def policies() -> dict:
         "orders": _select(_ORDERS, tenant("o_orderstatus", "order_status")),
         "lineitem": _select(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"], {"l_linestatus": {"eq": "O"}}),
         "events": _select(["event_id", "user_id", "event_type", "props", "ts", {"value": {"visible_if": {"user_id": {"lte": 40}}, "on_deny": "null"}}], tenant("event_type", "event_type")),
-        "documents": _select(["doc_id", "source", "n_chars"], tenant("lang", "lang")),
+        "documents": _select(["doc_id", "source", "n_chars", "text"], tenant("lang", "lang")),
+        "profiles": _select(["c_custkey", "rich", "profile"], segment),
     }
     spec = {"version": 1, "resources": {k: {"roles": {"analyst": v}} for k, v in out.items()}}
     spec["resources"]["customer"]["roles"]["capped"] = _select(["c_custkey", "c_name"], segment, limit=7)
+    spec["resources"]["documents"]["roles"]["reader"] = _select(["doc_id", "text"], {"lang": {"eq": "fr"}})
     for op, (filter_, _) in POLICY_OPS.items():
         spec["resources"]["orders"]["roles"][f"op_{op}"] = _select(_ORDERS, filter_)
     return spec
 
 
+#: The key that each query's write carries; every query writes a store of its own.
+_KEY = "registered:0000000001"
 VALUES = {"segment": "BUILDING", "order_status": "O", "event_type": "purchase", "lang": "en"}
 
 
@@ -73,6 +80,14 @@ def session(role: str = "analyst") -> Session:
     return Session.of(role, "user_1", **VALUES)
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; profiles are customers with a boolean and a JSON document each."""
+    if name != "profiles":
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    document = F.to_json(F.struct(F.col("c_name").alias("name"), F.array("c_nationkey", "c_custkey").alias("keys"), (F.col("c_acctbal") > 0).alias("rich"), F.col("c_acctbal").alias("balance"), F.struct(F.col("c_nationkey").alias("nation")).alias("at")))
+    return read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") > 0).alias("rich"), document.alias("profile"))
+
+
 _KNOWN: dict[str, dict] = {}
 
 
@@ -84,11 +99,12 @@ def _schemas(sf_dir: str, read: Callable[[str], DataFrame]) -> dict:
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    schemas = _schemas(sf_dir, read)
-    return Engine(spark, manifest_of(schemas, {"events": _JSON}), policies(), tables=read, schemas=schemas, limits=Limits(rows=None, bytes=None))
+    tables = lambda name: read(spark, sf_dir, name)
+    schemas = _schemas(sf_dir, tables)
+    return Engine(spark, manifest_of(schemas, {"events": _JSON, "profiles": {"profile": {"type": "json", "jsonSchema": _PROFILE}}}), policies(), tables=tables, schemas=schemas, limits=Limits(rows=None, bytes=None, keys=False))
 
 
+_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz"
 _C, _O, _L, _E = "c_mktsegment = 'BUILDING'", "o_orderstatus = 'O'", "l_linestatus = 'O'", "event_type = 'purchase'"
 
 #: name -> (statement, parameters, role, oracle SQL; none where SQL leaves the order of elements open)
@@ -147,8 +163,20 @@ SELECTS: dict[str, tuple[str, dict[str, Any], str, str | None]] = {
     "fn_lower": ("SELECT c_custkey, LOWER(c_name) AS low FROM customer", {}, "analyst", f"SELECT c_custkey, lower(c_name) AS low FROM customer WHERE {_C}"),
     "fn_upper": ("SELECT c_custkey, UPPER(c_name) AS up FROM customer", {}, "analyst", f"SELECT c_custkey, upper(c_name) AS up FROM customer WHERE {_C}"),
     "json_extract_scalar": ("SELECT event_id, JSON_EXTRACT(props, '$.k') AS k FROM events", {}, "analyst", f"SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE {_E}"),
-    "json_each_collect": ("SELECT json_group_array(j.value) AS items FROM events AS e, json_each(e.props, :path) AS j", {"path": "$"}, "analyst", None),
-    "json_tree_collect": ("SELECT json_group_array(j.value) AS items FROM events AS e, json_tree(e.props, '$') AS j", {}, "analyst", None),
+    "json_each_collect": ("SELECT json_group_array(j.value) AS items FROM events AS e, json_each(e.props, :path) AS j", {"path": "$"}, "analyst", f"SELECT '[' || string_agg(json_extract_string(props, '$.k'), ',' ORDER BY event_id) || ']' AS items FROM events WHERE {_E}"),
+    "json_tree_collect": ("SELECT json_group_array(j.value) AS items FROM events AS e, json_tree(e.props, '$') AS j", {}, "analyst", f"SELECT '[' || string_agg('{{\"k\":' || json_extract_string(props, '$.k') || '}},' || json_extract_string(props, '$.k'), ',' ORDER BY event_id) || ']' AS items FROM events WHERE {_E}"),
+    "json_each_path": ("SELECT json_group_array(j.value) AS items FROM profiles AS p, json_each(p.profile, '$.keys') AS j", {}, "analyst", f"SELECT '[' || string_agg(c_nationkey || ',' || c_custkey, ',' ORDER BY c_custkey) || ']' AS items FROM customer WHERE {_C}"),
+    "json_tree_path": ("SELECT json_group_array(j.value) AS items FROM profiles AS p, json_tree(p.profile, '$.at') AS j", {}, "analyst", f"SELECT '[' || string_agg('{{\"nation\":' || c_nationkey || '}},' || c_nationkey, ',' ORDER BY c_custkey) || ']' AS items FROM customer WHERE {_C}"),
+    "json_extract_kinds": (
+        "SELECT c_custkey, JSON_EXTRACT(profile, '$.name') AS name, JSON_EXTRACT(profile, '$.keys[1]') AS second, JSON_EXTRACT(profile, '$.keys') AS keys, JSON_EXTRACT(profile, '$.rich') AS rich, JSON_EXTRACT(profile, '$.balance') AS balance, JSON_EXTRACT(profile, '$.at.nation') AS nation FROM profiles", {}, "analyst",
+        f"SELECT c_custkey, c_name AS name, c_custkey::BIGINT AS second, '[' || c_nationkey || ',' || c_custkey || ']' AS keys, (c_acctbal > 0)::BIGINT AS rich, c_acctbal::DOUBLE AS balance, c_nationkey::BIGINT AS nation FROM customer WHERE {_C}",
+    ),
+    "cast_text_kinds": ("SELECT c_custkey, CAST(rich AS TEXT) AS t FROM profiles", {}, "analyst", f"SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN '1' ELSE '0' END AS t FROM customer WHERE {_C}"),
+    "cast_text_double": ("SELECT c_custkey, CAST(c_acctbal AS TEXT) AS t FROM customer", {}, "analyst", f"SELECT c_custkey, c_acctbal::DOUBLE::VARCHAR AS t FROM customer WHERE {_C}"),
+    "lower_upper_letters": ("SELECT doc_id, LOWER(text) AS low, UPPER(text) AS up FROM documents", {}, "reader", f"SELECT doc_id, translate(text, '{_ASCII}') AS low, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up FROM documents WHERE lang = 'fr'"),
+    "like_letters": ("SELECT doc_id FROM documents WHERE text LIKE :p", {"p": "%É%A_"}, "reader", f"SELECT doc_id FROM documents WHERE lang = 'fr' AND translate(text, '{_ASCII}') LIKE '%É%a_'"),
+    "like_column_pattern": ("SELECT c.c_custkey, n.n_nationkey FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey AND NOT c.c_name LIKE n.n_name AND c.c_name LIKE c.c_name", {}, "analyst", f"SELECT c_custkey, n_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE {_C} AND NOT lower(c_name) LIKE lower(n_name)"),
+    "glob_column_pattern": ("SELECT c.c_custkey FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey AND c.c_name GLOB c.c_name AND n.n_name NOT GLOB c.c_name", {}, "analyst", f"SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE {_C} AND c_name GLOB c_name AND NOT n_name GLOB c_name"),
     "redact_conditional": ("SELECT event_id, value FROM events", {}, "analyst", f"SELECT event_id, CASE WHEN user_id <= 40 THEN value END AS value FROM events WHERE {_E}"),
     **{f"policy_ops_{op}": ("SELECT o_orderkey, o_custkey FROM orders", {}, f"op_{op}", f"SELECT o_orderkey, o_custkey FROM orders WHERE {sql}") for op, (_, sql) in POLICY_OPS.items()},
 }
@@ -164,63 +192,141 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-def _json_of_one(table: str) -> Callable[[SparkSession, str], DataFrame]:
-    """The collection over the least purchase event, whose id the statement takes as parameter."""
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = engine(spark, sf_dir)
-        least = e.sql("SELECT event_id FROM events ORDER BY event_id LIMIT 1", session()).first().event_id
-        return e.sql(f"SELECT json_group_array(j.value) AS items FROM events AS e, {table}(e.props, '$') AS j WHERE e.event_id = :id", session(), {"id": least})
-
-    return query
-
-
 def _writable(spark: SparkSession, sf_dir: str, *tables: str) -> Engine:
     store = Store(spark, scratch_root(spark))
-    store.create({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    store.create({t: read(spark, sf_dir, t) for t in tables})
     all_ = policies()
     spec = all_ | {"resources": {t: {"roles": {"analyst": all_["resources"][t]["roles"]["analyst"]}} for t in tables}}
-    return Engine(spark, manifest_of(store.schemas(store.current())), spec, store=store, limits=Limits(rows=None, bytes=None))
+    return Engine(spark, manifest_of(store.schemas(store.current())), spec, store=store, limits=Limits(rows=None, bytes=None, transaction_bytes=None, transaction_seconds=None))
 
 
 def insert_preset_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _writable(spark, sf_dir, "nation")
-    e.execute([{"sql": "INSERT INTO nation (n_nationkey, n_name) VALUES (:a, 'ATLANTIS'), (:b, 'LEMURIA') RETURNING n_nationkey, n_name", "params": {"a": 100, "b": 101}, "expect": {"affectedRows": 2}}], session())
+    e.execute([{"sql": "INSERT INTO nation (n_nationkey, n_name) VALUES (:a, 'ATLANTIS'), (:b, 'LEMURIA') RETURNING n_nationkey, n_name", "params": {"a": 100, "b": 101}, "expect": {"affectedRows": 2}}], session(), idempotency_key=_KEY)
     return e.store.read(e.store.current(), "nation")
 
 
 def update_preset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _writable(spark, sf_dir, "customer")
-    e.execute([{"sql": "UPDATE customer SET c_name = :n WHERE c_custkey < 100", "params": {"n": "renamed"}}], session())
+    e.execute([{"sql": "UPDATE customer SET c_name = :n WHERE c_custkey < 100", "params": {"n": "renamed"}}], session(), idempotency_key=_KEY)
     return e.store.read(e.store.current(), "customer")
 
 
 def delete_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _writable(spark, sf_dir, "customer")
-    e.execute([{"sql": "DELETE FROM customer WHERE c_acctbal < 2000.0"}], session())
+    e.execute([{"sql": "DELETE FROM customer WHERE c_acctbal < 2000.0"}], session(), idempotency_key=_KEY)
     return e.store.read(e.store.current(), "customer")
 
 
 def atomic_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two writes to two tables in one envelope; the second reads nothing of the first's table."""
     e = _writable(spark, sf_dir, "customer", "nation")
-    e.execute([{"sql": "DELETE FROM customer WHERE c_custkey >= 100"}, {"sql": "INSERT INTO nation (n_nationkey, n_name) VALUES (:a, 'ATLANTIS')", "params": {"a": 100}}, {"sql": "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 5"}], session())
+    e.execute([{"sql": "DELETE FROM customer WHERE c_custkey >= 100"}, {"sql": "INSERT INTO nation (n_nationkey, n_name) VALUES (:a, 'ATLANTIS')", "params": {"a": 100}}, {"sql": "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 5"}], session(), idempotency_key=_KEY)
     return e.sql("SELECT c.c_custkey, n.n_name FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey", session())
 
 
+def _returned(spark: SparkSession, result: dict, kinds: str) -> DataFrame:
+    """An envelope's rows as a DataFrame."""
+    return spark.createDataFrame([tuple(r) for r in result["rows"]], kinds)
+
+
+def update_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that RETURNING gives: the new values of all that were updated."""
+    e = _writable(spark, sf_dir, "customer")
+    out = e.execute([{"sql": "UPDATE customer SET c_name = :n RETURNING c_custkey, c_name", "params": {"n": "renamed"}}], session(), idempotency_key=_KEY)
+    return _returned(spark, out["results"][0], "c_custkey long, c_name string")
+
+
+def delete_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _writable(spark, sf_dir, "customer")
+    out = e.execute([{"sql": "DELETE FROM customer RETURNING c_custkey"}], session(), idempotency_key=_KEY)
+    return _returned(spark, out["results"][0], "c_custkey long")
+
+
+def insert_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _writable(spark, sf_dir, "nation")
+    out = e.execute([{"sql": "INSERT INTO nation (n_nationkey, n_name) VALUES (:a, 'ATLANTIS'), (:b, 'LEMURIA') RETURNING n_nationkey, n_name", "params": {"a": 100, "b": 101}}], session(), idempotency_key=_KEY)
+    return _returned(spark, out["results"][0], "n_nationkey long, n_name string")
+
+
+def result_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An envelope's rows with what was redacted in each."""
+    out = engine(spark, sf_dir).execute([{"sql": "SELECT event_id, value FROM events"}], session())["results"][0]
+    rows = [(i, v, ",".join(hidden)) for (i, v), hidden in zip(out["rows"], out["redactions"], strict=True)]
+    return spark.createDataFrame(rows, "event_id long, value double, redacted string")
+
+
+def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same request twice under one key, and once by someone else under the same key: two inserts in all."""
+    e = _writable(spark, sf_dir, "nation")
+    other = Session.of("analyst", "user_2", **VALUES)
+    for k, who in enumerate((session(), session(), other)):
+        e.execute([{"sql": "INSERT INTO nation (n_nationkey, n_name) VALUES (:k, 'ATLANTIS')", "params": {"k": 100 + k // 2}}], who, idempotency_key=_KEY)
+    return e.store.read(e.store.current(), "nation")
+
+
+def transaction_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that see each other's writes, committed at once; a second transaction is rolled back."""
+    e = _writable(spark, sf_dir, "customer")
+    with e.transaction(session()) as t:
+        t.statement(1, "DELETE FROM customer WHERE c_acctbal < 0.0")
+        t.statement(2, "UPDATE customer SET c_name = 'kept'")
+    t = e.transaction(session())
+    t.statement(1, "DELETE FROM customer")
+    t.rollback()
+    return e.sql("SELECT c_custkey, c_name, c_nationkey FROM customer", session())
+
+
+def rejected_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds that refused statements are refused with."""
+    e, rows = engine(spark, sf_dir), []
+    for name, sql in _REFUSED.items():
+        try:
+            e.compile(sql, {}, session())
+            rows.append((name, "accepted"))
+        except Rejected as x:
+            rows.append((name, x.kind.value))
+    return spark.createDataFrame(rows, "statement string, refused string")
+
+
+def explain_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = engine(spark, sf_dir).explain("SELECT c.c_custkey AS id, o.o_totalprice FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_name LIKE :p LIMIT 9", session())
+    rows = [("column", c["name"], c["type"]) for c in out["columns"]] + [("parameter", p["name"], p["type"]) for p in out["parameters"]] + [("resource", r["name"], ",".join(r["columns"])) for r in out["resources"]] + [("limit", "limit", str(out["limit"]))]
+    return spark.createDataFrame(rows, "part string, name string, what string")
+
+
+def visible_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a role may see of the catalog, and how it may use it."""
+    out = engine(spark, sf_dir).visible_catalog(session("capped"))
+    return spark.createDataFrame([(r["name"], c["name"], c["type"], ",".join(c["usage"])) for r in out["resources"] for c in r["columns"]], "resource string, name string, type string, usage string")
+
+
+#: name -> a statement outside the language or the role's grants.
+_REFUSED = {
+    "star": "SELECT * FROM customer", "duplicate_name": "SELECT c_custkey, c_nationkey AS c_custkey FROM customer", "bare_column": "SELECT c_custkey, COUNT(*) AS n FROM customer", "function": "SELECT ABS(c_custkey) AS a FROM customer", "hidden_column": "SELECT c_phone FROM customer",
+    "two_statements": "SELECT c_custkey FROM customer; SELECT c_custkey FROM customer", "no_policy": "DELETE FROM orders", "chain": "SELECT c_custkey FROM customer WHERE " + " OR ".join(["c_custkey = 1"] * 400), "redacted_filter": "SELECT event_id FROM events WHERE value > 1.0", "null_literal": "SELECT c_custkey FROM customer WHERE c_name = NULL",
+}
+_REFUSALS = {"star": "UNSUPPORTED_SQL", "duplicate_name": "DUPLICATE_RESULT_COLUMN", "bare_column": "UNSUPPORTED_SQL", "function": "UNSUPPORTED_SQL", "hidden_column": "FORBIDDEN_COLUMN", "two_statements": "MULTIPLE_STATEMENTS", "no_policy": "MISSING_POLICY", "chain": "LIMIT_EXCEEDED", "redacted_filter": "FORBIDDEN_COLUMN_CONTEXT", "null_literal": "INVALID_PARAMETER"}
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(name) for name in SELECTS} | {
-    "json_each_one": _json_of_one("json_each"),
-    "json_tree_one": _json_of_one("json_tree"),
+    **{f.__name__: f for f in (update_returning, delete_returning, insert_returning, result_envelope, idempotent_replay, transaction_commit, rejected_statements, explain_columns, visible_columns)},
     "insert_preset_returning": insert_preset_returning,
     "update_preset_check": update_preset_check,
     "delete_filtered": delete_filtered,
     "atomic_envelope": atomic_envelope,
 }
 
-_FIRST_EVENT = f"(SELECT props FROM events WHERE {_E} ORDER BY event_id LIMIT 1)"
 ORACLE_SQL: dict[str, str] = {name: oracle for name, (_, _, _, oracle) in SELECTS.items() if oracle is not None} | {
-    "json_each_one": f"SELECT '[' || json_extract_string(props, '$.k') || ']' AS items FROM {_FIRST_EVENT}",
-    "json_tree_one": f"SELECT '[{{\"k\":' || json_extract_string(props, '$.k') || '}},' || json_extract_string(props, '$.k') || ']' AS items FROM {_FIRST_EVENT}",
+    "update_returning": f"SELECT c_custkey::BIGINT AS c_custkey, 'renamed' AS c_name FROM customer WHERE {_C}",
+    "delete_returning": f"SELECT c_custkey::BIGINT AS c_custkey FROM customer WHERE {_C}",
+    "insert_returning": "SELECT 100::BIGINT AS n_nationkey, 'ATLANTIS' AS n_name UNION ALL SELECT 101::BIGINT, 'LEMURIA'",
+    "result_envelope": f"SELECT event_id::BIGINT AS event_id, CASE WHEN user_id <= 40 THEN value END AS value, CASE WHEN user_id <= 40 THEN '' ELSE 'value' END AS redacted FROM events WHERE {_E}",
+    "idempotent_replay": "SELECT * FROM nation UNION ALL SELECT 100::INTEGER, 'ATLANTIS', 3::INTEGER UNION ALL SELECT 101::INTEGER, 'ATLANTIS', 3::INTEGER",
+    "transaction_commit": f"SELECT c_custkey, 'kept' AS c_name, 7::INTEGER AS c_nationkey FROM customer WHERE {_C} AND c_acctbal >= 0",
+    "rejected_statements": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}')" for n, k in _REFUSALS.items()) + ") AS t(statement, refused)",
+    "explain_columns": "SELECT * FROM (VALUES ('column', 'id', 'int64'), ('column', 'o_totalprice', 'number'), ('parameter', 'p', 'string'), ('resource', 'customer', 'c_custkey,c_name'), ('resource', 'orders', 'o_custkey,o_totalprice'), ('limit', 'limit', '9')) AS t(part, name, what)",
+    "visible_columns": "SELECT * FROM (VALUES ('customer', 'c_custkey', 'int64', 'project,filter,order,group'), ('customer', 'c_name', 'string', 'project,filter,order,group')) AS t(resource, name, type, usage)",
     "insert_preset_returning": "SELECT * FROM nation UNION ALL SELECT 100::INTEGER, 'ATLANTIS', 3::INTEGER UNION ALL SELECT 101::INTEGER, 'LEMURIA', 3::INTEGER",
     "update_preset_check": f"SELECT c_custkey, CASE WHEN {_C} AND c_custkey < 100 THEN 'renamed' ELSE c_name END AS c_name, CASE WHEN {_C} AND c_custkey < 100 THEN 7::INTEGER ELSE c_nationkey END AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "delete_filtered": f"SELECT * FROM customer WHERE NOT ({_C} AND c_acctbal < 2000)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -11,7 +12,8 @@ from pyspark.sql import SparkSession
 
 
 #: Arrow batches for Python workers: rows and bytes at most, where the session sets neither (Spark's own: 10,000 rows of
-#: any length). Batches of long texts would otherwise fill the memory beside the executors' heaps.
+#: any length). Batches of long texts would otherwise fill the memory beside the executors' heaps. They are set for the
+#: session, as Spark reads them when a plan runs; a session that sets its own keeps them.
 BATCH_ROWS, BATCH_BYTES = "2000", "8388608"
 
 
@@ -34,4 +36,5 @@ def ship(spark: SparkSession) -> None:
         for f in sorted((root / "veilspark").rglob("*.py")):
             z.write(f, str(f.relative_to(root)))
     context.addPyFile(archive)
+    atexit.register(lambda: Path(archive).unlink(missing_ok=True))
     context._veilspark_shipped = True

@@ -126,6 +126,9 @@ class Contract:
             parts.append(F.length(column) <= self.max_length)
         if self.pattern is not None:
             parts.append(column.rlike(self.pattern))
+        if self.format and self.logical is Logical.STRING:
+            # values of dates and instants have a stored type of their own, which holds nothing else
+            parts.append(column.rlike(rf"\A(?:{_FORMATS[self.format].pattern})".replace(r"\Z", r"\z")))
         ok = F.lit(True)
         for p in parts:
             ok = ok & p
