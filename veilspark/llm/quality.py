@@ -173,7 +173,7 @@ def fit(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     ship(found.sparkSession)
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     rows = found.join(F.broadcast(labels), "id").select("x", "y", F.expr(f"cast(pmod(xxhash64(id, 5), {FOLDS}) as int)").alias("fold"))  # most rows of 16 bytes
-    rows = written(rows.repartition(PARTS, "x"), "labelled")
+    rows = written(rows.repartition(PARTS), "labelled")  # round robin: copies have one x
     moments = _summed(rows, lambda x, y, _: np.concatenate([[len(y), y.sum()], x.sum(axis=0), (x * x).sum(axis=0)]))
     model = Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(COSINES), np.full(GRID, 0.5))
     if moments is None:
