@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm import _text as T
-from veilspark.llm._spark import edges_below
+from veilspark.llm._spark import edges_below, ship
 
 U64 = np.uint64
 SLOTS = 64
 #: Bytes of text in a range.
 RANGE_BYTES = 4 << 20
-#: Ranges at the most; larger inputs have larger ranges, which are sorted with spill and read row by row.
-MOST_RANGES = 10_000
+#: Ranges at the most (half a gigabyte each at 100 TB); larger ones are sorted with spill and read row by row.
+MOST_RANGES = 200_000
 _SLOT = np.arange(SLOTS, dtype=np.uint64) << U64(58)
 EMPTY = "f" * (8 * SLOTS)
 
@@ -149,16 +149,18 @@ def _walk(names: list[str]):
 def _copies(rows: DataFrame, present: list[int]) -> DataFrame:
     """The first row of each range, placed in the range before it; the first range's in the last."""
     least = rows.groupBy("place").agg(F.min_by(F.struct("doc_id", "text"), F.struct(F.col("k"), F.coalesce("text", F.lit("")))).alias("r"))
-    before = F.create_map(*[F.lit(x) for i, p in enumerate(present) for x in (p, present[i - 1])])
-    return least.select(before[F.col("place")].alias("place"), F.lit(1).alias("copy"), F.lit(None).cast("long").alias("k"), F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"))
+    before = rows.sparkSession.createDataFrame([(p, present[i - 1]) for i, p in enumerate(present)], "place int, before int")  # two numbers a range
+    return least.join(F.broadcast(before), "place").select(F.col("before").alias("place"), F.lit(1).alias("copy"), F.lit(None).cast("long").alias("k"), F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_chars (long), edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one of next smaller id, after the last the first; null ids come last and rows of one id
-    follow by text. A single row is its own next. Null texts count as empty. Equal texts have equal fingerprints.
+    follow by text. A single row is its own next. Null texts count as empty. Equal texts have equal fingerprints. Other
+    columns are ignored; an empty table gives an empty table.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     ranges = min(MOST_RANGES, max(1, -(-(size[0] or 0) // range_bytes)))
@@ -174,4 +176,3 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.unionByName(_copies(rows, present)).repartition(max(len(present), 1), "place").sortWithinPartitions("place", "copy", "k", F.coalesce("text", F.lit("")))
     names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     return rows.select("place", "copy", "doc_id", "text").mapInArrow(_walk(names), f"doc_id long, {_OUT}")
-
