@@ -28,8 +28,8 @@ from veilspark.llm._spark import mid_ranks, spread_join, written
 
 BITS = 8
 SHARDS = 40
-#: Rows in a range of the order.
-RANGE_ROWS = 200_000
+#: Rows in a range of the order, and ranges from which on they grow to MOST_ROWS each; a row here is ids and numbers of some 60 bytes.
+RANGE_ROWS, MANY_RANGES, MOST_ROWS = 20_000, 10_000, 2_000_000
 #: Rows of a group that may change places with others at one cut.
 SWAP_ROWS = 2_000_000
 
@@ -37,7 +37,8 @@ SWAP_ROWS = 2_000_000
 def running(df: DataFrame, order: list[str], weight: Column, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
     """df with before (the sum of weight over the rows that come earlier in the order), and the sum of all."""
     rows = written(df.withColumn("_weight", weight.cast("long")), "keys")  # the range bounds and the rows must come from one reading
-    ranges = max(1, -(-rows.count() // range_rows))
+    count = rows.count()
+    ranges = max(1, min(-(-count // range_rows), max(MANY_RANGES, -(-count // MOST_ROWS))))
     dealt = written(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges") if ranges > 1 else rows.withColumn("_range", F.lit(0))
     sums = dealt.groupBy("_range").agg(F.sum("_weight").alias("n")).collect()  # a number for each range
     offsets, total = [], 0
