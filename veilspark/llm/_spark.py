@@ -90,7 +90,7 @@ def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """Node and the smallest node it can reach, for edges of two long columns; nodes without edges are not returned.
 
     Above the small bound: alternating large-star and small-star rounds, each two shuffles with partial minima,
-    until the edges no longer change. No node's neighbours are ever gathered.
+    until the edges no longer change. No node's neighbours are ever gathered, nor do all of a hub's edges meet in one task.
     """
     spark = edges.sparkSession
     edges = written(edges.select(F.col(edges.columns[0]).alias("u"), F.col(edges.columns[1]).alias("v")).filter("u <> v").distinct(), "edges")
@@ -103,10 +103,11 @@ def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))  # u > v in every row here
-        star = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("held")), "low")
+        star = spread_join(both.filter("v > u"), low, ["u"], "held", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        star = written(star, "large")
+        low = written(star.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("held")), "low")  # u > v in every row here
+        star = spread_join(star, low, ["u"], "held", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
         edges = written(star, "star")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
