@@ -2,7 +2,7 @@
 
 A text's vector holds, for WIDTH buckets of word hashes, the logarithm of the words that fall on them, scaled to length 1.
 The mean vector of its language is taken off, so topics cut across languages. Spherical k-means starts from a
-bounded sample (least hashes, k-means++) and then runs ROUNDS rounds over all texts, each a sum by partition; clusters of
+bounded sample (by hash of id and text, k-means++) and then runs ROUNDS rounds over all texts, each a sum by partition; clusters of
 less than LEAST_SHARE of the texts are dissolved into the others. Vectors are written once, a byte a bucket; the driver
 gets sums of fixed size.
 """
@@ -161,7 +161,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         else:
             rest = mean
     model = Topics(means, rest, np.zeros((0, WIDTH), np.float32))
-    sample = found.orderBy("draw", "vector").limit(SAMPLE).collect()  # SAMPLE vectors
+    # the draws below a bound that SAMPLE of all are expected to be; repeated rows share a draw, hence the limit
+    few = found if total <= SAMPLE else found.filter(F.col("draw") < int(-(2**63) + 2**64 * SAMPLE / total))
+    sample = sorted(few.limit(2 * SAMPLE).collect(), key=lambda r: (r.draw, bytes(r.vector), str(r.language)))  # twice SAMPLE vectors at the most
     model.centres = _start(model.centred(np.frombuffer(b"".join(bytes(r.vector) for r in sample), np.uint8).reshape(-1, WIDTH), [r.language for r in sample]), topics)
     for round_ in range(ROUNDS):
         parts = pairs.mapInArrow(_cluster_sums(model), "k int, part binary").groupBy("k").applyInArrow(_add, "k int, part binary").collect()  # 64 at the most
