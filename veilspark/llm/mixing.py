@@ -155,7 +155,7 @@ def _rake_wide(cells: DataFrame, margins: list[str], wants: list[DataFrame], swe
             total = known.agg(F.sum("mass")).first()[0]
             if not total:
                 return cells
-            ratio = written(known.select("_m", (F.col("want") * total / F.col("mass")).alias("ratio")), "ratio")
+            ratio = known.select("_m", (F.col("want") * total / F.col("mass")).alias("ratio"))
             off.append(ratio.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0])
             cells = cells.join(ratio, F.col(m).eqNullSafe(F.col("_m")), "left").withColumn("factor", F.col("factor") * F.coalesce("ratio", F.lit(1.0))).drop("_m", "ratio")
         cells = written(cells, "cells")
